@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.canonical import canonicalize, look_alike_pairs
 from memlake.llm.leaks import find_leaks
+from memlake.llm.neardup import similar_groups, similar_pairs
 from memlake.runtime import read_table
 
 
@@ -25,5 +26,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("question_id"))
 
 
-QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(read_table(spark, sf_dir, "drawers"), "id", "document", similarity=0.6, run=3)
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(read_table(spark, sf_dir, "drawers"), "id", "document", similarity=0.6, run=3)
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
