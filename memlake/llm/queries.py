@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from memlake.llm.canonical import canonicalize, look_alike_pairs
 from memlake.llm.leaks import find_leaks
+from memlake.llm.names import link_names
 from memlake.llm.neardup import similar_groups, similar_pairs
-from memlake.runtime import read_table
+from memlake.runtime import read_table, written
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +35,22 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read_table(spark, sf_dir, "drawers"), "id", "document", similarity=0.6, run=3)
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
+def name_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec, spelling) of entities and registry: names and aliases under ``e`` + id and ``r`` + ord."""
+    e = read_table(spark, sf_dir, "entities").select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("rec"), F.col("name").alias("spelling"))
+    r = read_table(spark, sf_dir, "registry").select(F.concat(F.lit("r"), F.col("ord").cast("string")).alias("rec"), F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("all"))
+    return e.unionByName(r.select("rec", F.explode("all").alias("spelling")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = written(link_names(name_spellings(spark, sf_dir)))
+    a, b = of.select("entity", F.col("rec").alias("key_a")), of.select("entity", F.col("rec").alias("key_b"))
+    return a.join(b, "entity").where("key_a < key_b").select("key_a", "key_b")
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_names(name_spellings(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
