@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.canonical import canonicalize, look_alike_pairs
+from memlake.llm.languages import document_languages, fit_word_scores, language_code, language_segments
 from memlake.llm.leaks import find_leaks
 from memlake.llm.names import link_names
 from memlake.llm.neardup import similar_groups, similar_pairs
@@ -52,5 +53,25 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_names(name_spellings(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
+def word_scores(spark: SparkSession, sf_dir: str) -> dict:
+    return fit_word_scores(read_table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawers with several languages, or whose latest verdict is absent or names a language not in them."""
+    labels = read_table(spark, sf_dir, "drawer_labels").where(F.col("drawer_id").isNotNull())
+    latest = labels.groupBy(F.col("drawer_id").alias("id")).agg(F.max(F.struct("labeled_at", "lang_label")).alias("last")).select("id", language_code(F.col("last.lang_label")).alias("verdict"))
+    found = document_languages(read_table(spark, sf_dir, "drawers"), "id", "document", word_scores(spark, sf_dir))
+    langs = found.groupBy("id").agg(F.sort_array(F.collect_set("lang")).alias("langs")).join(latest, "id", "left")
+    open_ = F.col("verdict").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("verdict"))
+    return langs.where(open_).select(F.col("id").alias("drawer_id"), F.explode("langs").alias("lang"))
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every drawer that has a language, with its confidence."""
+    s = language_segments(read_table(spark, sf_dir, "drawers"), "id", "document", word_scores(spark, sf_dir))
+    return s.select(F.col("id").alias("drawer_id"), F.col("first").alias("first_token"), F.col("end").alias("end_token"), "lang", F.round("confidence", 4).alias("confidence")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
