@@ -10,6 +10,7 @@ from memlake.llm.languages import document_languages, fit_word_scores, language_
 from memlake.llm.leaks import find_leaks
 from memlake.llm.names import link_names
 from memlake.llm.neardup import similar_groups, similar_pairs
+from memlake.llm.pii import find_mentions, redact
 from memlake.runtime import read_table, written
 
 
@@ -73,5 +74,17 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("id").alias("drawer_id"), F.col("first").alias("first_token"), F.col("end").alias("end_token"), "lang", F.round("confidence", 4).alias("confidence")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = find_mentions(read_table(spark, sf_dir, "drawers"), "id", "document").withColumn("tab", F.lit("drawers"))
+    m = find_mentions(read_table(spark, sf_dir, "messages"), "msg_id", "content").withColumn("tab", F.lit("messages"))
+    return d.unionByName(m).select("tab", "rec_key", "kind", "pii")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = redact(read_table(spark, sf_dir, "drawers"), "id", "document").withColumn("tab", F.lit("drawers"))
+    m = redact(read_table(spark, sf_dir, "messages"), "msg_id", "content").withColumn("tab", F.lit("messages"))
+    return d.unionByName(m).select("tab", "rec_key", "text", "n_mentions")
+
+
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
