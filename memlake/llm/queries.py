@@ -10,6 +10,7 @@ from memlake.llm.languages import document_languages, fit_word_scores, language_
 from memlake.llm.leaks import find_leaks
 from memlake.llm.names import link_names
 from memlake.llm.neardup import similar_groups, similar_pairs
+from memlake.llm.packing import CAPACITY, pack_documents
 from memlake.llm.pii import find_mentions, redact
 from memlake.runtime import read_table, written
 
@@ -86,5 +87,16 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(m).select("tab", "rec_key", "text", "n_mentions")
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of a text above the capacity, with its container."""
+    return pack_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text", ["lang", "wing", "room"])
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fill of every container."""
+    used = F.sum("n_tokens")
+    return p6_packing(spark, sf_dir).groupBy("container").agg(F.count("*").alias("n_items"), used.alias("used"), (F.lit(CAPACITY) - used).alias("unused"))
+
+
+QUERIES = {"p6_packing": p6_packing, "p6_containers": p6_containers, "p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
