@@ -6,13 +6,16 @@ characters, so no character is ever divided.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from memlake.functions import lexicons as L
 
-_ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżžёйѐѝїў"
-_BARE = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiiıjklllnnnnooooooooorrrssssttuuuuuuuuuuwyyyzzzеиеиіу"
+#: Latin, Greek and Cyrillic letters that decompose into a letter and marks, and those letters.
+_DECOMPOSED = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:]))}
+_ACCENTED, _BARE = "".join(_DECOMPOSED), "".join(_DECOMPOSED.values())
 
 
 def _c(c: Column | str) -> Column:

@@ -32,7 +32,7 @@ def _signals(text: Column) -> Column:
     def add(patterns, signal, weight):
         for p in patterns:
             names = F.regexp_extract_all(text, F.lit(_generic(p)), F.lit(1))
-            found.append(F.transform(names, lambda n, s=signal, w=weight: F.struct(F.lower(n).alias("name"), F.lit(s).alias("signal"), F.lit(w).alias("weight"))))
+            found.append(F.transform(names, lambda n: F.struct(F.lower(n).alias("name"), F.lit(signal).alias("signal"), F.lit(weight).alias("weight"))))
 
     add(L.DIALOGUE, "dialogue", 3)
     add(L.PERSON_VERBS, "action", 2)

@@ -64,53 +64,53 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, where: Column | N
     return top(hits, limit, F.col("rank"), F.col("id"))
 
 
-def _similar(ids: np.ndarray, matrix: np.ndarray, keep: int):
-    norms = np.linalg.norm(matrix, axis=1)
-    unit = matrix / np.where(norms > 0, norms, 1)[:, None]
+def _blocks(batches):
+    """Every Arrow batch as one row: the ids and the matrix of unit vectors."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if len(v) % b.num_rows:
+            raise ValueError("vectors of different dimensions")
+        v = v.reshape(b.num_rows, -1)
+        n = np.linalg.norm(v, axis=1)
+        unit = v / np.where(n > 0, n, 1)[:, None]
+        ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+        yield pa.RecordBatch.from_arrays([ids, pa.array([unit.tobytes()], pa.binary()), pa.array([unit.shape[1]], pa.int32())], names=["ids", "unit", "dims"])
+
+
+def _best(keep: int):
+    """The best ``keep`` rows of a block for every query of another block."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if len(flat) != b.num_rows * unit.shape[1]:
-                raise ValueError(f"vectors of other than {unit.shape[1]} dimensions")
-            v = flat.reshape(b.num_rows, -1)
-            n = np.linalg.norm(v, axis=1)
-            sims = np.round((v / np.where(n > 0, n, 1)[:, None]) @ unit.T, 9)
-            own = b.column(0).to_numpy()
-            k = min(keep, len(own))
-            order = np.lexsort((np.broadcast_to(own[:, None], sims.shape), -sims), axis=0)[:k]
-            q = np.broadcast_to(ids, order.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(own[order].ravel()), pa.array(np.take_along_axis(sims, order, axis=0).ravel())], names=["query_id", "id", "similarity"])
+            for i in range(b.num_rows):
+                if b.column(2)[i].as_py() != b.column(5)[i].as_py():
+                    raise ValueError("vectors of another number of dimensions than the queries")
+                own, asked = b.column(0)[i].values, b.column(3)[i].values
+                v, q = (np.frombuffer(b.column(c)[i].as_buffer()).reshape(-1, b.column(2)[i].as_py()) for c in (1, 4))
+                sims = np.round(v @ q.T, 9)
+                rank = own.to_numpy(zero_copy_only=False)
+                order = np.lexsort((np.broadcast_to(rank[:, None], sims.shape), -sims), axis=0)[:keep]
+                ask = np.broadcast_to(np.arange(sims.shape[1]), order.shape)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(ask.ravel())), own.take(pa.array(order.ravel())), pa.array(np.take_along_axis(sims, order, axis=0).ravel())], names=["query_id", "id", "similarity"])
 
     return run
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int = 2000) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, id, similarity, position) by cosine, of ``vectors(id, vector)`` for ``queries(query_id, vector)``.
 
-    Queries go through all vectors block by block: a block is one matrix of bounded size, every Arrow batch is
-    multiplied with it and only its best ``limit`` rows per query leave the task.
+    Rows and queries are packed into blocks, one matrix per Arrow batch. Every block of queries goes through
+    every block of rows as one matrix product, of which only the best ``limit`` rows per query leave the task.
     """
     limit = limit if limit > 0 else 10
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, similarity double"
-    rows = vectors.where(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector"))
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    hits, lines = None, asked.toLocalIterator()
-    while True:
-        ids, matrix = [], []
-        for r in lines:
-            ids.append(r[0])
-            matrix.append(r[1])
-            if len(ids) == block:
-                break
-        if not ids:
-            break
-        some = rows.mapInArrow(_similar(np.array(ids), np.array(matrix, float), limit), kind)
-        hits = some if hits is None else hits.unionByName(some)
-    if hits is None:
-        hits = queries.sparkSession.createDataFrame([], kind)
+    q_kind, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    packed = lambda df, key, k: df.where(F.col("vector").isNotNull() & F.col(key).isNotNull()).select(key, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_blocks, f"ids array<{k}>, unit binary, dims int")
+    rows = packed(vectors, "id", kind)
+    asked = packed(queries, "query_id", q_kind).select(F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"), F.col("dims").alias("q_dims"))
+    pairs = rows.crossJoin(asked)  # block by block: one row per pair of matrices
+    hits = pairs.mapInArrow(_best(limit), f"query_id {q_kind}, id {kind}, similarity double")
     return top(hits, limit, F.col("similarity").desc(), F.col("id"))
 
 
