@@ -72,7 +72,7 @@ def _read(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     full = F.regexp_replace("path", "^[a-z]+:/*", "/")
     base = os.path.abspath(root).rstrip("/") + "/"
-    return files.select(F.expr(f"substr({'path'}, 1)").alias("uri"), F.substring(full, len(base) + 1, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.substring(full, len(base) + 1, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
 def walk_project(spark: SparkSession, root: str, skip: str = "", config_name: str = "memlake.yaml") -> DataFrame:
