@@ -51,8 +51,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``; used to decide on broadcasts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-
-
-def single_thread_numpy() -> None:
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
