@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import lexicons as L
 from memlake.functions import text as X
-from memlake.runtime import BROADCAST_BYTES, table_bytes
+from memlake.runtime import BROADCAST_BYTES, table_bytes, written
 
 
 def top(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -36,17 +36,18 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, analyze=X.tokens) -> DataFr
     Statistics are those of all documents. Only tokens that some query asks for leave the scan, and a phrase
     such as ``foo_bar`` has to stand with its words next to each other.
     """
-    asked = phrases(queries)
-    parts = asked.select("phrase").distinct().withColumn("words", analyze(F.translate("phrase", "_", " "))).where(F.size("words") > 0)
-    parts = parts.select("phrase", F.size("words").alias("k"), F.posexplode("words").alias("off", "token"))
+    asked = written(phrases(queries))
+    words = asked.select("phrase").distinct().select("phrase", analyze(F.translate("phrase", "_", " ")).alias("words"))
+    parts = written(words.select("phrase", F.size("words").alias("k"), F.posexplode("words").alias("off", "token")))
     wanted = parts.select("token").distinct()
-    if table_bytes(queries) <= BROADCAST_BYTES:
+    if table_bytes(parts) <= BROADCAST_BYTES:
         parts, wanted = F.broadcast(parts), F.broadcast(wanted)
-    analyzed = docs.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", analyze("text").alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = analyzed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    placed = analyzed.select("id", "dl", F.posexplode("tokens").alias("pos", "token")).join(wanted, "token", "left_semi")
+    # one pass over the texts: the analyzed corpus is written once and read for statistics and for matches
+    analyzed = written(docs.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", analyze("text").alias("tokens")))
+    stats = analyzed.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    placed = analyzed.select("id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "token")).join(wanted, "token", "left_semi")
     runs = placed.join(parts, "token").groupBy("id", "phrase", "k", (F.col("pos") - F.col("off")).alias("start")).agg(F.first("dl").alias("dl"), F.count("*").alias("found"))
-    tf = runs.where(F.col("found") == F.col("k")).groupBy("id", "phrase").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
+    tf = written(runs.where(F.col("found") == F.col("k")).groupBy("id", "phrase").agg(F.first("dl").alias("dl"), F.count("*").alias("tf")))
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = tf.join(df, "phrase").crossJoin(F.broadcast(stats))
