@@ -32,6 +32,7 @@ KINDS = {"n": "name", "e": "email", "p": "phone", "i": "idnum", "a": "address"}
 LABELS = ["O"] + [f"{b}{k}" for k in KINDS for b in "BI"]
 LABEL = {x: i for i, x in enumerate(LABELS)}
 K = len(LABELS)
+_INSIDE = np.array([x[0] == "I" for x in LABELS])
 # Given names beyond those with short forms.
 GIVEN = set("aisha amara bjarne ingrid kwame leila mateus odile omar priya thiago tomasz yuki odi odie maria anna john paul ana luis laura sara mark lena olga ivan sofia hugo".split())
 GIVEN |= set(SHORT_FORMS) | {s for v in SHORT_FORMS.values() for s in v.split() if len(s) > 2}
@@ -39,7 +40,8 @@ _STREET = re.compile(r"(?i).{2,}(?:straße|strasse|str\.|straat|laan|weg|allee|g
 _MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 _OBSCURED = re.compile(r"(?i)[\w.+-]+[\[(]at[\])][\w.\[\]()-]+")
 _KEPT_DOT = {"rd.", "st.", "str.", "ave.", "av."}
-_HASH = 1 << 14
+_HEX = re.compile(r"(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{7,}(?:-\d+)?")
+_HASH, _STOP = 1 << 14, 1 << 15
 
 
 def _shape(token: str) -> str:
@@ -61,11 +63,16 @@ def _shape(token: str) -> str:
         return "PATH" + tail
     if re.fullmatch(r"[A-Za-z][\w-]*(?:\.[\w-]+)*\.[A-Za-z]{2,}", core):
         return "DOMAIN" + tail
-    out, last = [], ""
+    if _HEX.fullmatch(core):
+        return "HEX" + tail
+    host = core.partition(":")[0].split(".")
+    if len(host) == 4 and all(x.isdigit() and int(x) < 256 for x in host):
+        return "HOST" + tail
+    out = []
     for m in re.finditer(r"\d+|[^\W\d_]+|.", core):
         s = m[0]
         if s.isdigit():
-            lead = s[0] if s[0] in "09" and len(s) > 1 else ""
+            lead = s[0] if s[0] in "09" and len(s) > 1 and not any(x[-1:].isdigit() for x in out) else ""
             out.append(f"{lead}d{min(len(s), 12)}")
         elif s.isalpha():
             out.append((f"X{min(len(s), 4)}" if s.isupper() else "Xx" if s[0].isupper() and s[1:].islower() else "x" if s.islower() else "xX") + ("" if s.isascii() else "u"))
@@ -100,12 +107,12 @@ class Tagger:
         if c is None:
             if len(self.memo) > 400_000:
                 self.memo.clear()
-            c = self.memo[token] = self.words.get(_word(token), 0) << 16 | self.shapes.get(_shape(token), 0)
+            c = self.memo[token] = self.words.get(_word(token), 0) << 16 | self.shapes.get(_shape(token), 0) | (_STOP if token[-1] in ";|" else 0)
         return c
 
     def features(self, codes: np.ndarray, line: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(table, row of each word) of every feature; words of other lines count as row 0."""
-        w, s = codes >> 16, codes & 0xFFFF
+        w, s = codes >> 16, codes & (_STOP - 1)
         n = len(codes)
 
         def shift(v, o):
@@ -190,7 +197,11 @@ def _examples(rounds: int, seed: int) -> list[tuple[list[str], list[int]]]:
     out = []
     pool = lines(table.SENTENCES)
     for _ in range(rounds):
-        for t in pool:
+        signatures = []
+        for _ in range(30):
+            sep = rnd.choice([" | ", " / ", "; ", ", tel/mail/id: "])
+            signatures.append("-- {n}" + "".join(f"{sep}{{{k}}}" for k in rnd.sample("epia", rnd.randrange(1, 5))))
+        for t in pool + signatures:
             tokens, labels = sentence(t)
             if rnd.random() < 0.5:
                 a, b = sentence(rnd.choice(pool))
@@ -281,8 +292,7 @@ def _viterbi(emit: np.ndarray, starts: np.ndarray, counts: np.ndarray, step: np.
     alive = np.searchsorted(-counts, -np.arange(longest), side="left")
     back = np.zeros((len(emit), K), np.int8)
     label = np.zeros(len(emit), np.int8)
-    inside = np.array([x[0] == "I" for x in LABELS])
-    state = emit[starts] - 1e4 * inside.astype(np.float32)
+    state = emit[starts] - 1e4 * _INSIDE.astype(np.float32)
     for t in range(1, longest):
         m = alive[t]
         at = starts[:m] + t
@@ -308,6 +318,8 @@ def _tag(lines: list[list[str]], tagger: Tagger):
         return
     line = np.repeat(np.arange(len(lines)), counts)
     emit = tagger.emissions(codes, line)
+    after = np.flatnonzero((codes[:-1] & _STOP > 0) & (line[1:] == line[:-1])) + 1
+    emit[np.ix_(after, np.flatnonzero(_INSIDE))] -= 1e4  # no mention goes on after a semicolon or a bar
     gain = emit[:, 1:].max(axis=1) - emit[:, 0]
     extra = max(0.0, float((tagger.step - tagger.step[0, 0]).max()))
     open_ = np.zeros(len(lines), bool)

@@ -366,6 +366,19 @@ El pasaporte {i} no va en {t}.
 For the contract use tax id {i}. The login page passes locally.
 After 98 attempts our nightly import finally accepted the tracing headers.
 After 7 attempts the vector store finally accepted a stricter validator.
+For the contract use tax id {i}. By tomorrow evening, the rate limiter lost the summary card.
+Fwd: Nothing in {f} mentions the weekly report.
+Fwd: Rien dans {f} ne parle de {x}.
+Voeg {c} alsjeblieft nog niet samen, dus houden we beide versies.
+Merci de ne pas encore fusionner {c}, tandis que la documentation dit autre chose.
+Por favor, no fusiones {c} todavía, así que guardamos las dos versiones.
+Per favore non unire ancora {c}, quindi teniamo entrambe le versioni.
+Por favor, não juntes {c} ainda, por isso guardamos as duas versões.
+Пожалуйста, пока не сливайте {c}, поэтому мы храним обе версии.
+O calendário desceu de 4183 para 57 milissegundos no fim de semana.
+El calendario bajó de 4183 a 571 milisegundos anoche muy tarde.
+Il calendario è sceso da 4183 a 57 millisecondi prima della dimostrazione.
+De planning ging vlak na de uitrol van 4183 naar 571 milliseconden.
 После 31 попыток очередь наконец приняла общие примеры.
 Expliqué a {x}; Segundo el registro, nada cambió.
 Для {x} нужно подготовить общие примеры, прежде чем выйдет {v}.
