@@ -7,7 +7,7 @@ give no rows; repeated rows change nothing but counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.runtime import written
@@ -77,6 +77,22 @@ def facts_at(entities: DataFrame, triples: DataFrame, day: str, subject: str | N
     return out.where((F.col("valid_from") <= day) & ((F.col("valid_to") == "") | (F.col("valid_to") > day)))
 
 
+def active_counts(facts: DataFrame, probes: DataFrame) -> DataFrame:
+    """(subject_id, day, n_active): how many ``facts(subject_id, d_from, d_to)`` hold on each probed day.
+
+    The interval join of many probes as a sweep: starts count up, ends count down, and the running sum at a
+    probe is its answer. Counts are combined per subject and day before the sweep, so a subject with a third
+    of all facts is a window of at most one row per day.
+    """
+    up = facts.select("subject_id", F.col("d_from").alias("day"), F.lit(1).alias("delta"), F.lit(False).alias("probe"))
+    down = facts.where("d_to IS NOT NULL").select("subject_id", F.col("d_to").alias("day"), F.lit(-1).alias("delta"), F.lit(False).alias("probe"))
+    asked = probes.select("subject_id", "day", F.lit(0).alias("delta"), F.lit(True).alias("probe"))
+    days = up.unionByName(down).unionByName(asked).where("subject_id IS NOT NULL AND day IS NOT NULL")
+    days = days.groupBy("subject_id", "day").agg(F.sum("delta").alias("delta"), F.max("probe").alias("probe"))
+    w = Window.partitionBy("subject_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return days.withColumn("n_active", F.sum("delta").over(w)).where("probe").select("subject_id", "day", "n_active")
+
+
 def timeline(entities: DataFrame, triples: DataFrame, subject: str) -> DataFrame:
     """All facts of a subject in order of ``valid_from``, then id."""
     return _facts(entities.where(F.col("name") == subject), triples).orderBy("valid_from", "id")

@@ -155,13 +155,13 @@ def smart(docs: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int =
     semantic = vector_search(vectors, classed.where("class != 'LEXICAL'").select("query_id", "vector"), n)
     kinds = classed.select("query_id", "class")
     weight = lambda i: F.when(F.col("class") == "TEMPORAL", L.ROUTER_WEIGHTS["TEMPORAL"][i]).otherwise(L.ROUTER_WEIGHTS["FACT"][i])
-    lex, sem = lexical.join(F.broadcast(kinds), "query_id"), semantic.join(F.broadcast(kinds), "query_id")
+    lex, sem = lexical.join(kinds, "query_id"), semantic.join(kinds, "query_id")
     mixed = ["TEMPORAL", "FACT"]
     fused = fuse(lex.where(F.col("class").isin(mixed)), sem.where(F.col("class").isin(mixed)), limit, weight(0), weight(1))
     alone = sem.where("class = 'PREFERENCE'").select("query_id", "id", F.col("similarity").alias("score"), "position")
     plain = lex.where("class = 'LEXICAL'").select("query_id", "id", (-F.col("rank")).alias("score"), "position")
     rest = alone.unionByName(plain).where(F.col("position") <= limit)
-    return fused.unionByName(rest).join(F.broadcast(kinds), "query_id").select("query_id", "id", "class", "score", "position")
+    return fused.unionByName(rest).join(kinds, "query_id").select("query_id", "id", "class", "score", "position")
 
 
 def first_hits(hits: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def gold(s, d):
     """The corpus documents that hold a question word for word; questions are found by their rarest word."""
     q = questions(s, d)
     words = q.select("query_id", F.explode(F.array_distinct(X.tokens("query"))).alias("w"))
-    found = docs(s, d).where("text IS NOT NULL").select("id", F.explode(F.array_distinct(X.tokens("text"))).alias("w")).join(F.broadcast(words.select("w").distinct()), "w", "left_semi")
+    found = docs(s, d).where("text IS NOT NULL").select("id", F.explode(F.array_distinct(X.tokens("text"))).alias("w")).join(words.select("w").distinct(), "w", "left_semi")
     df = found.groupBy("w").agg(F.count("*").alias("df"))
     rare = words.join(df, "w").groupBy("query_id").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
     near = rare.join(found, "w").select("query_id", "id").join(q.select("query_id", "query"), "query_id").join(docs(s, d).select("id", "text"), "id")
