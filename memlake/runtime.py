@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Largest table, in bytes of its files, that an operator may send to every executor.
 BROADCAST_BYTES = 8 << 20
+_TABLES: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` made so far; call it when no result that reads them is needed any more."""
+    while _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are too few for that; larger inputs stay as they are scanned."""
     cores = df.sparkSession.sparkContext.defaultParallelism
