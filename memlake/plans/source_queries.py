@@ -14,7 +14,7 @@ from memlake.plans.search_queries import docs, questions
 from memlake.plans.tables import D, sql_trim, stored_drawers
 from memlake.runtime import read_table
 from memlake.sources.exports import transcripts
-from memlake.sources.files import ProjectConfig, conversation_drawers, project_drawers
+from memlake.sources.files import ProjectConfig, conversation_drawers, project_drawers, project_files
 from memlake.streaming.ingest import windowed_counts
 
 
@@ -83,8 +83,10 @@ def src_convo(s, d):
 
 
 def src_project(s, d):
-    """Project files to drawers: the corpus texts under their source paths."""
-    f = read_table(s, d, "documents").where("source IS NOT NULL AND source <> '' AND NOT lower(source) LIKE '%.json%'").select(F.concat("source", F.lit("."), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    """Project files to drawers: all corpus texts under their source paths, those without one under ``unknown``."""
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown"))
+    path = F.concat(source, F.lit("."), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".md"))
+    f = project_files(read_table(s, d, "documents").select(path.alias("path"), F.col("text").alias("content")))
     return project_drawers(f, ProjectConfig("wing_files"), "2026-01-01").select("id", "room", F.octet_length("document").alias("bytes"))
 
 

@@ -75,8 +75,8 @@ def _read(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substring(full, len(base) + 1, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
-def walk_project(spark: SparkSession, root: str, skip: str = "", config_name: str = "memlake.yaml") -> DataFrame:
-    """(path, content) of the text files of a project tree: no hidden, build or binary files."""
+def project_files(files: DataFrame, skip: str = "", config_name: str = "memlake.yaml") -> DataFrame:
+    """``files(path, content)`` without those that are hidden, built, binary, the project file or below ``skip``."""
     parts = F.split("path", "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
@@ -84,7 +84,12 @@ def walk_project(spark: SparkSession, root: str, skip: str = "", config_name: st
     ok = ~F.exists(folders, lambda p: p.isin(*L.SKIPPED_DIRS) | p.startswith(".")) & ~name.startswith(".") & ~ext.isin(*L.BINARY_EXTENSIONS) & (name != config_name)
     if skip:
         ok = ok & ~F.col("path").startswith(skip.rstrip("/") + "/")
-    return _read(spark, root).where(ok).select("path", "content")
+    return files.where(ok).select("path", "content")
+
+
+def walk_project(spark: SparkSession, root: str, skip: str = "", config_name: str = "memlake.yaml") -> DataFrame:
+    """(path, content) of the text files of a project tree: no hidden, build or binary files."""
+    return project_files(_read(spark, root), skip, config_name)
 
 
 def walk_conversations(spark: SparkSession, root: str) -> DataFrame:

@@ -10,6 +10,7 @@ from memlake.operators import layers
 from memlake.operators import retrieval as R
 from memlake.operators import store as S
 from memlake.plans.service import Service
+from memlake.plans.source_queries import src_project
 from memlake.sources import files as S2
 from memlake.sources.exports import transcripts
 from memlake.streaming.ingest import SCHEMA, drop_folder, ingest, windowed_counts
@@ -54,6 +55,12 @@ def test_project_walk(spark, tmp_path):
         S2.read_project_config(str(tmp_path / "missing.yaml"))
 
 
+def test_project_query_takes_all_documents(spark, tmp_path):
+    rows = [(1, "src/a.py", "one"), (2, "chats/b.json", "two"), (3, "c.JSONL", "three"), (4, None, "four"), (5, "", "five"), (6, "node_modules/x.js", "six"), (7, ".hidden/y", "seven"), (8, "z.md", " ")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.bytes for r in src_project(spark, str(tmp_path)).collect()) == [3, 3, 4, 4, 5]
+
+
 def test_conversation_walk_store_and_reingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(CASES["roles.json"][0])
