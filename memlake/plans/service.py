@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -12,18 +13,22 @@ from pyspark.sql import functions as F
 from memlake.operators import graph as G
 from memlake.operators import layers
 from memlake.operators import store as S
+from memlake.runtime import written
 
 
 class Service:
     """Tools over a drawer snapshot and, optionally, entities and facts; changes replace the snapshot.
 
-    Results leave a tool as at most ``MAX_ROWS`` rows of JSON text.
+    Results leave a tool as JSON text with the count of all rows. One of more than ``MAX_ROWS`` rows is written to
+    a table and leaves in pages of that many: each but the last has a ``next`` key, and a call of the same tool with
+    it as argument ``next`` gives the page that follows. Pages are of one snapshot, whatever changes between them.
     """
 
     MAX_ROWS = 1000
 
     def __init__(self, spark: SparkSession, drawers: DataFrame, entities: DataFrame | None = None, triples: DataFrame | None = None, clock: Callable[[], datetime] = lambda: datetime.now(UTC)):
         self.spark, self.drawers, self.entities, self.triples, self.clock = spark, drawers, entities, triples, clock
+        self._open: dict[str, tuple[str, DataFrame, int]] = {}
 
     def tools(self) -> list[str]:
         base = ["status", "search", "list_wings", "list_rooms", "add_drawer", "delete_drawer"]
@@ -76,7 +81,7 @@ class Service:
 
     def _kg_query(self, args):
         (subject,) = self._need(args, "subject")
-        return G.active_facts(self.entities, self.triples, subject).select("subject", "predicate", "object", "valid_from")
+        return G.active_facts(self.entities, self.triples, subject).select("subject", "predicate", "object", "valid_from").orderBy("predicate", "object", "valid_from")
 
     def _kg_add(self, args):
         subject, predicate, object_ = self._need(args, "subject", "predicate", "object")
@@ -89,7 +94,29 @@ class Service:
 
     def _traverse_graph(self, args):
         (start,) = self._need(args, "start_room")
-        return G.traverse(self.drawers, start, int(args.get("max_hops") or 2)).select("id", "document", "wing", "room")
+        return G.traverse(self.drawers, start, int(args.get("max_hops") or 2)).select("id", "document", "wing", "room").orderBy("id", "wing", "room")
+
+    def _page(self, name: str, args: dict) -> dict:
+        """A tool's rows, or the page of them that ``next`` names, with the count of all."""
+        if args.get("next"):
+            key, _, after = str(args["next"]).partition(":")
+            if key not in self._open or self._open[key][0] != name or not after.lstrip("-").isdigit():
+                raise ValueError(f"unknown page: {args['next']}")
+            return self._cut(key, int(after))
+        result = self.call(name, args)
+        rows = [json.loads(r) for r in result.limit(self.MAX_ROWS + 1).toJSON().collect()]
+        if len(rows) <= self.MAX_ROWS:
+            return {"rows": rows, "count": len(rows)}
+        table, key = written(result.withColumn("_at", F.monotonically_increasing_id())), uuid.uuid4().hex
+        self._open[key] = (name, table, table.count())
+        return self._cut(key, -1)
+
+    def _cut(self, key: str, after: int) -> dict:
+        _, table, count = self._open[key]
+        rows = [json.loads(r) for r in table.where(F.col("_at") > after).orderBy("_at").limit(self.MAX_ROWS + 1).toJSON().collect()]
+        at = [r.pop("_at") for r in rows]
+        page = {"rows": rows[: self.MAX_ROWS], "count": count}
+        return page | {"next": f"{key}:{at[self.MAX_ROWS - 1]}"} if len(rows) > self.MAX_ROWS else page
 
     def handle(self, line: str) -> str | None:
         """One JSON-RPC 2.0 request to its response; notifications have none."""
@@ -108,7 +135,7 @@ class Service:
         if method != "tools/call":
             return reply(error={"code": -32601, "message": f"Method not found: {method}"})
         try:
-            rows = [json.loads(r) for r in self.call(params.get("name"), params.get("arguments") or {}).limit(self.MAX_ROWS).toJSON().collect()]
-            return reply(result={"content": [{"type": "text", "text": json.dumps({"rows": rows, "count": len(rows)})}]})
+            page = self._page(params.get("name"), params.get("arguments") or {})
+            return reply(result={"content": [{"type": "text", "text": json.dumps(page)}]})
         except (KeyError, ValueError) as e:
             return reply(result={"content": [{"type": "text", "text": str(e)}], "isError": True})

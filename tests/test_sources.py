@@ -156,6 +156,21 @@ def test_service(spark):
     assert call("tools/call", name="search", arguments={})["result"]["isError"]
 
 
+def test_service_returns_all_rows_of_a_large_result(spark):
+    d = S.drawers(spark.createDataFrame([(1, "a", "x", "w", "r", "f", "", "")], SCHEMA))
+    e = spark.createDataFrame([(1, "Alice")], "id long, name string")
+    t = spark.range(2500).selectExpr("id", "1L AS subject_id", "'knows' AS predicate", "concat('p', id % 2400) AS object", "'2026-01-01' AS valid_from", "'' AS valid_to")
+    s = Service(spark, d, e, t)
+    call = lambda **a: json.loads(json.loads(s.handle(json.dumps({"id": 1, "method": "tools/call", "params": {"name": "kg_query", "arguments": a}})))["result"]["content"][0]["text"])
+    pages = [call(subject="Alice")]
+    s.triples = t.limit(0)
+    while "next" in pages[-1]:
+        pages.append(call(next=pages[-1]["next"]))
+    objects = [r["object"] for p in pages for r in p["rows"]]
+    assert [len(p["rows"]) for p in pages] == [1000, 1000, 500] and {p["count"] for p in pages} == {2500}
+    assert objects == sorted(f"p{i % 2400}" for i in range(2500))
+
+
 def test_streaming_ingest(spark, tmp_path):
     rows = [(1, "a", "one", "w", "r", "", "", ""), (2, "a", "two", "w", "r", "", "", ""), (3, None, "x", "w", "r", "", "", "")]
     (tmp_path / "in").mkdir()
