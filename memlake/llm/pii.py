@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import pii_table as table
-from memlake.llm.names import SHORT_FORMS
 
 KINDS = {"n": "name", "e": "email", "p": "phone", "i": "idnum", "a": "address"}
 LABELS = ["O"] + [f"{b}{k}" for k in KINDS for b in "BI"]
@@ -35,7 +34,7 @@ K = len(LABELS)
 _INSIDE = np.array([x[0] == "I" for x in LABELS])
 # Given names beyond those with short forms.
 GIVEN = set("aisha amara bjarne ingrid kwame leila mateus odile omar priya thiago tomasz yuki odi odie maria anna john paul ana luis laura sara mark lena olga ivan sofia hugo".split())
-GIVEN |= set(SHORT_FORMS) | {s for v in SHORT_FORMS.values() for s in v.split() if len(s) > 2}
+GIVEN |= set(table.SHORT_FORMS) | {s for v in table.SHORT_FORMS.values() for s in v.split() if len(s) > 2}
 _STREET = re.compile(r"(?i).{2,}(?:straße|strasse|str\.|straat|laan|weg|allee|gasse|platz|plein|gracht|kade|dijk)$")
 _MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 _OBSCURED = re.compile(r"(?i)[\w.+-]+[\[(]at[\])][\w.\[\]()-]+")
