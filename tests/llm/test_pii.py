@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 
 from memlake.llm import pii
+from tests.llm.held_out_mentions import LAST, SENTENCES
 
 CASES = {
     "You can reach me at tina.velmar+x@corp.ostrel.example if Kelvat breaks again.": {("email", "tina.velmar+x@corp.ostrel.example")},
@@ -34,6 +35,26 @@ def test_held_out_sentences():
     assert len(wrong) <= 1, wrong
 
 
+def test_accuracy_on_other_wording():
+    for sentences in (SENTENCES, LAST):
+        hits = got_all = want_all = 0
+        for text, want in sentences:
+            got = found(text)
+            hits, got_all, want_all = hits + len(got & want), got_all + len(got), want_all + len(want)
+        assert hits / want_all > 0.8 and hits / got_all > 0.75
+
+
+def test_pruned_and_whole_decoding_agree():
+    tagger = pii.trained()
+    lines = [t.split() for t, _ in SENTENCES + LAST] + [["Aisha"], ["Robert", "said"], ["xyz"] * 50]
+    counts = np.array([len(t) for t in lines])
+    codes = np.array([tagger.code(x) for t in lines for x in t])
+    line = np.repeat(np.arange(len(lines)), counts)
+    label = pii._viterbi(tagger.emissions(codes, line), np.cumsum(counts) - counts, counts, tagger.step)
+    begins = {(int(line[i]), pii.LABELS[label[i]][1]) for i in np.flatnonzero(label % 2 == 1)}
+    assert begins == {(i, k) for i, _, _, k in pii._tag(lines, tagger)}
+
+
 def test_accuracy_on_held_out_values():
     tagger = pii.trained()
     data = pii._examples(2, seed=999)
