@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.canonical import canonicalize, look_alike_pairs
+from memlake.llm.canonical import canonicalize, look_alike_classes, look_alike_pairs
 from memlake.llm.languages import document_languages, fit_word_scores, language_code, language_segments
 from memlake.llm.leaks import find_leaks
 from memlake.llm.names import link_names
@@ -25,6 +25,12 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonicalize(docs, "text").select("doc_id", F.col("canonical").alias("text"), F.col("canonical_segments").alias("n_segments"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The look-alike class of every document: membership instead of pairs."""
+    c = look_alike_classes(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return c.select(F.col("id").alias("doc_id"), "class_id", "n_equal", "n_forms")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "eval_items"), "question_id", "passage", "question")
     return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("question_id"))
@@ -98,5 +104,5 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_packing(spark, sf_dir).groupBy("container").agg(F.count("*").alias("n_items"), used.alias("used"), (F.lit(CAPACITY) - used).alias("unused"))
 
 
-QUERIES = {"p6_packing": p6_packing, "p6_containers": p6_containers, "p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical}
+QUERIES = {"p6_packing": p6_packing, "p6_containers": p6_containers, "p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical, "p8_classes": p8_classes}
 SQL: dict[str, str] = {}
