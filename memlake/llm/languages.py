@@ -1,12 +1,16 @@
 """The language of documents and of mixed-language segments.
 
 Word scores are log probabilities of words per language, counted in documents whose language is known. Of a
-text, every word gets a score per language: the script of its letters first narrows the candidates (Cyrillic
-text can only be in a Cyrillic language, Latin text in a Latin one), then its counts decide; words never seen,
-names, identifiers, paths and numbers score alike for all languages. Viterbi over the words, with a penalty
-for each switch that is lower at the start of a sentence, labels spans. A sentence or line has the
-language of most of its words; it counts if at least ``MIN_WORDS`` of its words carry a score. Neighbouring
-sentences of one language form a segment.
+text, every word gets a score per language: the script of its letters first narrows the candidates (a word in
+Cyrillic letters can only be in a Cyrillic language, one in Latin letters in none of them), then its counts decide.
+A word in small letters that was never seen is scored by its character n-grams, within ``GUESS`` of the best;
+capitalized unknown words, names, identifiers, paths and numbers say nothing. Viterbi over the words, with a penalty
+for each switch that is lower at the start of a sentence, labels spans.
+
+``language_segments`` gives the spans: neighbouring words and sentences of one language are one segment, also
+within a sentence. ``document_languages`` counts sentences: one has the language of most of its words, and is
+whole if ``MIN_WORDS`` of them are known words; a text without a whole sentence has the language of its shorter
+sentences, with a confidence lowered in proportion.
 
 All documents of an Arrow batch are decoded together, one numpy step per word position.
 
@@ -30,6 +34,8 @@ SWITCH, SWITCH_AT_SENTENCE, MIN_WORDS = 9.0, 2.0, 3
 #: Bound on the labelled documents that the word scores are counted in.
 FIT_ROWS = 8000
 FORBIDDEN = -30.0
+#: Length of the character n-grams of unseen words, and how far they can set languages apart.
+NGRAM, GUESS = 3, 2.5
 
 # Codes and names of the languages as people write them.
 NAMES = {
@@ -102,15 +108,56 @@ def fit_word_scores(labelled: DataFrame, text: str, lang: str, key: str, fit_row
     return dict(zip(table.index, np.maximum(scores, -6.0).astype(np.float32)))
 
 
+def _is_cyrillic(word: str) -> bool:
+    return "Ѐ" <= word[0] <= "ӿ"
+
+
+def _ngrams(word: str) -> list[str]:
+    p = f" {word} "
+    return [p[i : i + NGRAM] for i in range(len(p) - NGRAM + 1)]
+
+
 class _Scorer:
-    """Token to the row of its score; rows 0 to 2 are: no language, Cyrillic letters, Latin letters unknown."""
+    """Token to the row of its score; row 0 is no language, then come the known words, then unseen ones."""
 
     def __init__(self, scores: dict[str, np.ndarray]):
-        self.index = {w: i + 2 for i, w in enumerate(scores)}
-        base = [np.zeros(len(LANGUAGES), np.float32), np.where(CYRILLIC, 0, -6).astype(np.float32)]
-        self.rows = np.vstack([*base, *scores.values()]) if scores else np.vstack(base)
+        k = len(LANGUAGES)
+        self.index = {w: i + 1 for i, w in enumerate(scores)}
+        self.known = len(scores) + 1
+        self.rows = np.zeros((2 * self.known + 1024, k), np.float32)
+        share: dict[str, np.ndarray] = {}
+        for w, i in self.index.items():
+            self.rows[i] = scores[w] + self.script(w)
+            for g in _ngrams(w):
+                share[g] = share.get(g, 0) + np.exp(scores[w])
+        total = sum(share.values()) if share else np.ones(k)
+        self.share = {g: np.log((v + 0.1) / (total + 0.1 * len(share))) for g, v in share.items()}
+        self.unseen: dict[str, int] = {}
         self.memo: dict[str, int] = {}
 
+    @staticmethod
+    def script(word: str) -> np.ndarray:
+        """The script narrows the candidates: languages of another script are out of the question."""
+        return np.where(CYRILLIC == _is_cyrillic(word), 0, FORBIDDEN).astype(np.float32)
+
+    def guess(self, word: str) -> int:
+        """The row of an unseen word: 0 if its n-grams say nothing, else its score by n-grams."""
+        row = self.unseen.get(word)
+        if row is None:
+            seen = [self.share[g] for g in _ngrams(word) if g in self.share]
+            if not seen and not _is_cyrillic(word):
+                return 0
+            score = np.sum(seen, axis=0) if seen else np.zeros(len(LANGUAGES))
+            score = np.maximum(score - score.max(), -GUESS) + self.script(word)
+            if len(self.unseen) >= 200_000:
+                self.unseen.clear()
+                self.memo.clear()
+            row = self.unseen[word] = self.known + len(self.unseen)
+            if row >= len(self.rows):
+                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            self.rows[row] = score - score.max()
+        return row
+
     def code(self, token: str) -> int:
         """Row of the score, shifted left by one; the last bit says that a sentence ends here."""
         c = self.memo.get(token)
@@ -120,7 +167,7 @@ class _Scorer:
             w = None if token in _ROLES else _word(token)
             row = 0
             if w:
-                row = self.index.get(w) or (1 if "Ѐ" <= w[0] <= "ӿ" else 0)
+                row = self.index.get(w) or (self.guess(w) if _is_cyrillic(w) or token.strip(_EDGE)[:1].islower() and len(w) > 2 else 0)
             c = self.memo[token] = row * 2 + bool(token == _LINE or _ENDS.search(token) and token.lower() not in _ABBREVIATIONS and (len(token) != 2 or not token[0].isupper()))
         return c
 
@@ -157,58 +204,60 @@ def _viterbi(score: np.ndarray, opens: np.ndarray, starts: np.ndarray, counts: n
     return label
 
 
-def _decode(texts: list[str], scorer: _Scorer):
-    """(text, first token, end token, language, confidence) of every sentence that has a language."""
+def _decode(texts: list[str], scorer: _Scorer) -> dict[str, np.ndarray] | None:
+    """Of every word that carries a score: its text, token, sentence, label, scores and whether it is a known word."""
     lists = [_tokens(t) for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     code = scorer.code
     codes = np.fromiter((code(x) for t in lists for x in t), np.int64, int(counts.sum()))
-    if not len(codes):
-        return (np.empty(0, np.int64),) * 5
     rows, ends = codes >> 1, (codes & 1).astype(bool)
+    live = np.flatnonzero(rows > 0)
+    if not len(live):
+        return None
     starts = np.cumsum(counts) - counts
-    some = counts > 0
     opens = np.empty(len(codes), bool)
     opens[0] = True
     opens[1:] = ends[:-1]
-    opens[starts[some]] = True
-    # only words that carry a score take part in the decoding
-    live = rows > 0
-    score = scorer.rows[rows[live]]
-    text_of = np.repeat(np.arange(len(lists)), counts)
+    opens[starts[counts > 0]] = True
+    text = np.repeat(np.arange(len(lists)), counts)
     sentence = np.cumsum(opens) - 1
-    live_text, live_sentence = text_of[live], sentence[live]
-    if not len(score):
-        return (np.empty(0, np.int64),) * 5
-    n_live = np.bincount(live_text, minlength=len(lists))
-    first = np.ones(len(score), bool)
-    first[1:] = live_sentence[1:] != live_sentence[:-1]
-    label = _viterbi(score, first, np.cumsum(n_live) - n_live, n_live)
-    at = np.flatnonzero(first)
-    votes = np.zeros((len(at), len(LANGUAGES)), np.int32)
-    ordinal = np.cumsum(first) - 1
-    np.add.at(votes, (ordinal, label), 1)
-    lang = votes.argmax(axis=1)
+    score, own, of = scorer.rows[rows[live]], sentence[live], text[live]
+    n = np.bincount(of, minlength=len(lists))
+    first = np.ones(len(live), bool)
+    first[1:] = own[1:] != own[:-1]
+    label = _viterbi(score, first, np.cumsum(n) - n, n)
+    begin = np.flatnonzero(opens) - starts[text[opens]]
+    return {"text": of, "token": live - starts[of], "sentence": own, "first": first, "begin": begin[own], "label": label, "score": score, "known": rows[live] < scorer.known, "size": counts}
+
+
+def _sure(score: np.ndarray, at: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """The probability of the language of each run of words that begins at ``at``, by the scores of its words."""
     total = np.add.reduceat(score, at, axis=0)
-    total = total - total.max(axis=1, keepdims=True)
-    sure = np.exp(total) / np.exp(total).sum(axis=1, keepdims=True)
-    confidence = sure[np.arange(len(at)), lang] * votes.max(axis=1) / votes.sum(axis=1)
-    keep = votes.sum(axis=1) >= MIN_WORDS
-    s = live_sentence[at][keep]
-    begin = np.flatnonzero(opens)
-    end = np.append(begin[1:], len(codes))
-    return text_of[begin[s]], begin[s] - starts[text_of[begin[s]]], end[s] - starts[text_of[begin[s]]], lang[keep], confidence[keep]
+    p = np.exp(total - total.max(axis=1, keepdims=True))
+    return p[np.arange(len(at)), lang] / p.sum(axis=1)
+
 
+def _segments(scores: dict):
+    """Runs of words of one label. A run that begins with a sentence takes the whole beginning of the sentence."""
 
-def _sentences(scores: dict):
     def go(batches):
         scorer = _Scorer(scores)
         for b in batches:
-            text, first, end, lang, sure = _decode([t or "" for t in b.column(1).to_pylist()], scorer)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(text, pa.int64())), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.array(LANGUAGES)[lang] if len(lang) else [], pa.string()), pa.array(np.asarray(sure, float))],
-                names=["id", "first", "end", "lang", "confidence"],
-            )
+            d = _decode([t or "" for t in b.column(1).to_pylist()], scorer)
+            if d is None:
+                continue
+            of, label = d["text"], d["label"]
+            at = np.concatenate([[0], np.flatnonzero((of[1:] != of[:-1]) | (label[1:] != label[:-1])) + 1])
+            n = np.diff(np.append(at, len(of)))
+            lang, text = label[at], of[at]
+            first = np.where(d["first"][at], d["begin"][at], d["token"][at])
+            end = np.append(first[1:], 0)
+            last = np.append(text[1:] != text[:-1], True)
+            end[last] = d["size"][text[last]]
+            known = np.add.reduceat(d["known"].astype(int), at)
+            sure = _sure(d["score"], at, lang) * np.minimum(1.0, (known + 0.5 * (n - known)) / MIN_WORDS)
+            names = ["id", "first", "end", "lang", "words", "confidence"]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.array(LANGUAGES)[lang]), pa.array(n.astype(np.int32)), pa.array(sure)], names=names)
 
     return go
 
@@ -216,14 +265,26 @@ def _sentences(scores: dict):
 def _document_languages(scores: dict):
     def go(batches):
         scorer = _Scorer(scores)
-        names = np.array(LANGUAGES)
+        k = len(LANGUAGES)
         for b in batches:
-            text, _, _, lang, sure = _decode([t or "" for t in b.column(1).to_pylist()], scorer)
-            key, at, n = np.unique(np.asarray(text, np.int64) * 8 + lang, return_inverse=True, return_counts=True)
-            mean = np.bincount(at, weights=np.asarray(sure, float), minlength=len(key)) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(key // 8)), pa.array(names[key % 8] if len(key) else [], pa.string()), pa.array(n.astype(np.int32)), pa.array(mean, pa.float64())], names=["id", "lang", "sentences", "confidence"]
-            )
+            d = _decode([t or "" for t in b.column(1).to_pylist()], scorer)
+            if d is None:
+                continue
+            at = np.flatnonzero(d["first"])
+            ordinal = np.cumsum(d["first"]) - 1
+            votes = np.zeros((len(at), k), np.int32)
+            np.add.at(votes, (ordinal, d["label"]), 1)
+            lang, text, n = votes.argmax(axis=1), d["text"][at], votes.sum(axis=1)
+            known = np.bincount(ordinal, weights=d["known"], minlength=len(at))
+            whole = known >= MIN_WORDS
+            some = np.bincount(text, weights=whole, minlength=len(b)) > 0
+            keep = whole | ~some[text]
+            sure = _sure(d["score"], at, lang) * votes.max(axis=1) / n * np.minimum(1.0, (known + 0.5 * (n - known)) / MIN_WORDS)
+            key, where, count = np.unique(text[keep] * k + lang[keep], return_inverse=True, return_counts=True)
+            mean = np.bincount(where, weights=sure[keep], minlength=len(key)) / count
+            full = np.bincount(where, weights=whole[keep], minlength=len(key))
+            names = ["id", "lang", "sentences", "whole", "confidence"]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(key // k)), pa.array(np.array(LANGUAGES)[key % k]), pa.array(count.astype(np.int32)), pa.array(full.astype(np.int32)), pa.array(mean)], names=names)
 
     return go
 
@@ -233,12 +294,12 @@ def _input(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, str]:
 
 
 def document_languages(df: DataFrame, id_column: str, text: str, scores: dict) -> DataFrame:
-    """(id, lang, sentences, confidence): each language of each row with its number of sentences."""
+    """(id, lang, sentences, whole, confidence): each language of each row with its sentences, and how many are whole."""
     rows, kind = _input(df, id_column, text)
-    return rows.mapInArrow(_document_languages(scores), f"id {kind}, lang string, sentences int, confidence double")
+    return rows.mapInArrow(_document_languages(scores), f"id {kind}, lang string, sentences int, whole int, confidence double")
 
 
 def language_segments(df: DataFrame, id_column: str, text: str, scores: dict) -> DataFrame:
-    """(id, first, end, lang, confidence): each sentence of a language, by white-space token positions."""
+    """(id, first, end, lang, words, confidence): each stretch of one language, by white-space token positions."""
     rows, kind = _input(df, id_column, text)
-    return rows.mapInArrow(_sentences(scores), f"id {kind}, first int, end int, lang string, confidence double")
+    return rows.mapInArrow(_segments(scores), f"id {kind}, first int, end int, lang string, words int, confidence double")

@@ -76,9 +76,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence of every drawer that has a language, with its confidence."""
+    """Every stretch of one language of every drawer, with its confidence."""
     s = language_segments(read_table(spark, sf_dir, "drawers"), "id", "document", word_scores(spark, sf_dir))
-    return s.select(F.col("id").alias("drawer_id"), F.col("first").alias("first_token"), F.col("end").alias("end_token"), "lang", F.round("confidence", 4).alias("confidence")).distinct()
+    return s.select(F.col("id").alias("drawer_id"), F.col("first").alias("first_token"), F.col("end").alias("end_token"), "lang", "words", F.round("confidence", 4).alias("confidence")).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_documents(spark):
         assert 0 <= r.confidence <= 1
     assert got == {1: {"en"}, 2: {"de", "en", "fr"}, 6: {"ru"}, 7: {"de"}}
     segs = [(r.lang, r.first, r.end) for r in L.language_segments(df.where("id = 2"), "id", "text", s).orderBy("first").collect()]
-    assert [x[0] for x in segs] == ["de", "en", "fr"] and segs[0][1:] == (0, 7)
+    assert [x[0] for x in segs] == ["de", "en", "fr"] and segs[0][1:] == (0, 7) and segs[1][1] == 7
     assert L.document_languages(df.limit(0), "id", "text", s).count() == 0
 
 
@@ -38,6 +38,19 @@ def test_borrowed_words_do_not_switch(spark):
     assert [r.lang for r in L.document_languages(df, "id", "text", s).collect()] == ["en"]
 
 
+def test_short_sentences_unseen_words_and_scripts(spark):
+    """What has no whole sentence still gets a language, with a low confidence; scripts exclude languages."""
+    s = scores(spark)
+    texts = ["die Katze!", "gesehenes", "котик", "ok", "Tindren", "the cat и мы не видели кошку and the table"]
+    got = {r.id: (r.lang, r.whole, r.confidence) for r in L.document_languages(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", s).collect()}
+    assert got[0][:2] == ("de", 0) and got[1][:2] == ("de", 0) and got[2][:2] == ("ru", 0) and max(got[i][2] for i in range(3)) < 0.9
+    assert 4 not in got and got[5][1] == 1
+    spans = [(r.lang, r.first, r.end) for r in L.language_segments(spark.createDataFrame([(1, texts[5])], "id int, text string"), "id", "text", s).orderBy("first").collect()]
+    assert spans == [("en", 0, 2), ("ru", 2, 7), ("en", 7, 10)]
+    one = L.language_segments(spark.createDataFrame([(1, "Wir haben die Katze. Sie ist auf dem Tisch.")], "id int, text string"), "id", "text", s).collect()
+    assert [(r.lang, r.first, r.end) for r in one] == [("de", 0, 9)]
+
+
 def test_viterbi_as_brute_force():
     rng = np.random.default_rng(4)
     counts = np.array([4, 1, 3])
