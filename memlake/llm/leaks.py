@@ -26,6 +26,8 @@ from memlake.llm.words import batch_shingles, hashes, shingles, words
 from memlake.runtime import BROADCAST_BYTES, written
 
 SHINGLE = 5
+#: Corpus hits of one shingle that a task of the prefix join takes; more are salted, none is left out.
+MAX_HITS = 1 << 16
 
 
 def _item_windows(item_id: str, size: int, min_words: int):
@@ -94,13 +96,16 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
         hits = hits.join(wanted, ["k", "h"], "left_semi")
     hits = written(hits)
 
-    rarity = hits.groupBy("k", "h").agg(F.countDistinct("doc").alias("df"))
+    rarity = written(hits.groupBy("k", "h").agg(F.countDistinct("doc").alias("df"), F.ceil(F.count("*") / MAX_HITS).alias("salts")))
     ranked = windows.join(rarity, ["k", "h"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     one = Window.partitionBy("item", "part", "win").orderBy("df", "h", "off")
     prefix = ranked.withColumn("rank", F.row_number().over(one)).where((F.col("rank") == 1) & (F.col("df") > 0))
-    prefix = prefix.select("item", "part", "win", "len", "off", "h", "k")
+    prefix = prefix.select("item", "part", "win", "len", "off", "h", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    # few shingles have more than one salt; the others need no second look at their hits
+    hot = rarity.where("salts > 1").select("k", "h", "salts")
+    salted = hits.withColumn("salt", F.lit(0).cast("long")) if hot.isEmpty() else hits.join(hot, ["k", "h"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "pos"), F.col("salts")), F.lit(0))).drop("salts")
     start = F.col("pos") - F.col("off")
-    candidates = prefix.join(hits, ["k", "h"]).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
+    candidates = prefix.join(salted, ["k", "h", "salt"]).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
     candidates = candidates.select("doc", "item", "part", "win", "len", "k", "start").distinct()
     parts = candidates.join(windows.select("item", "part", "win", "off", "h"), ["item", "part", "win"]).withColumn("pos", F.col("start") + F.col("off"))
     held = parts.join(hits.select("doc", "pos", "h", "k").distinct(), ["doc", "pos", "h", "k"])

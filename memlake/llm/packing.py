@@ -3,8 +3,8 @@
 Lexical retrieval packing: documents are range-sorted by language and place into shards of at most
 ``SHARD_DOCS`` items. A shard has a BM25 inverted index whose document frequencies and mean length are counted
 over all documents. The longest unused item of the shard is the seed of a window; the index returns its
-unused neighbours by score, and they fill the window greedily, each as long as it fits; when the neighbours
-are exhausted, the window is as full as the shard allows. Texts longer than a container fill containers of
+unused neighbours by score, and they fill the window greedily, each as long as it fits; the last ``CLOSE`` of the
+capacity goes to the unused item that fills most of it. Texts longer than a container fill containers of
 their own, and only their last piece is an item like the others.
 
 Token counts are exact: byte-pair merges never cross the boundary before a single space that follows a
@@ -32,6 +32,8 @@ from memlake.runtime import written
 
 CAPACITY, SHARD_DOCS, BUCKETS = 2048, 2048, 1 << 17
 K1, B = 1.2, 0.75
+#: Share of a container that is filled by size instead of by neighbourhood, once no more than that is left.
+CLOSE = 1 / 16
 
 
 def default_tokenizer() -> str:
@@ -52,7 +54,7 @@ def _encoding(path: str):
 
 
 class _Parts(dict):
-    """Space-separated part to (tokens with its leading space) << 18 | (bucket of its word + 1); 0 if it has none."""
+    """Space-separated part to its tokens with its leading space; -1 where that is not their number in the text."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -61,23 +63,29 @@ class _Parts(dict):
     def __missing__(self, part: str) -> int:
         if len(self) > 600_000:
             self.clear()
-        if not part or part[0].isspace() or part[-1].isspace():
-            code = -1  # the boundary is not a single space between non-spaces
-        else:
-            word = part.strip(".,;:!?()[]{}<>\"'«»“”„-–—*#|`").lower()
-            bucket = xxhash.xxh32_intdigest(word) % BUCKETS + 1 if word else 0
-            code = len(self.encode(" " + part)) << 18 | bucket
+        code = len(self.encode(" " + part)) if part and not part[0].isspace() and not part[-1].isspace() else -1
         self[part] = code
         return code
 
 
+class _Terms(dict):
+    """White-space token to the bucket of its word; -1 if it has none."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 600_000:
+            self.clear()
+        word = token.strip(".,;:!?()[]{}<>\"'«»“”„-–—*#|`").lower()
+        code = self[token] = xxhash.xxh32_intdigest(word) % BUCKETS if word else -1
+        return code
+
+
 def _measure(path: str):
     """(doc columns, n_tokens, n_words, terms, tfs) of every text; terms and counts as packed integers."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _Parts(path)
         encode = parts.encode
-        get = parts.__getitem__
+        get, term_of = parts.__getitem__, _Terms().__getitem__
         for b in batches:
             texts = b.column("text").to_pylist()
             lists = [t.split(" ") for t in texts]
@@ -87,21 +95,23 @@ def _measure(path: str):
             doc = np.repeat(np.arange(len(lists)), counts)
             odd = np.bincount(doc[codes < 0], minlength=len(lists)) > 0
             codes = np.maximum(codes, 0)
-            tokens = np.add.reduceat(codes >> 18, starts) if len(codes) else np.zeros(0, np.int64)
+            tokens = np.add.reduceat(codes, starts) if len(codes) else np.zeros(0, np.int64)
             for i, t in enumerate(texts):
                 if odd[i]:
                     tokens[i] = len(encode(t))
                 else:  # the first part has no space before it
-                    tokens[i] += len(encode(lists[i][0])) - (codes[starts[i]] >> 18)
-            term = codes & (2 * BUCKETS - 1)
-            key, tf = np.unique(doc[term > 0] * (2 * BUCKETS) + term[term > 0], return_counts=True)
-            owner = key // (2 * BUCKETS)
-            n = np.bincount(owner, minlength=len(lists))
-            terms, tf = (key % (2 * BUCKETS) - 1).astype(np.int32).tobytes(), np.minimum(tf, 255).astype(np.uint8).tobytes()
+                    tokens[i] += len(encode(lists[i][0])) - codes[starts[i]]
+            words = [t.split() for t in texts]
+            counts = np.fromiter(map(len, words), np.int64, len(words))
+            term = np.fromiter((term_of(x) for p in words for x in p), np.int64, int(counts.sum()))
+            owner = np.repeat(np.arange(len(words)), counts)[term >= 0]
+            key, tf = np.unique(owner * BUCKETS + term[term >= 0], return_counts=True)
+            n = np.bincount(key // BUCKETS, minlength=len(lists))
+            terms, tf = (key % BUCKETS).astype(np.int32).tobytes(), tf.astype(np.int32).tobytes()
             ends = np.cumsum(n)
             cut = list(zip((ends - n).tolist(), ends.tolist()))
             cols = [b.column(i) for i in range(b.num_columns - 1)]
-            cols += [pa.array(tokens.astype(np.int64)), pa.array(counts.astype(np.int32)), pa.array([terms[4 * x : 4 * y] for x, y in cut], pa.binary()), pa.array([tf[x:y] for x, y in cut], pa.binary())]
+            cols += [pa.array(tokens.astype(np.int64)), pa.array(counts.astype(np.int32)), pa.array([terms[4 * x : 4 * y] for x, y in cut], pa.binary()), pa.array([tf[4 * x : 4 * y] for x, y in cut], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "n_tokens", "n_words", "terms", "tfs"])
 
     return go
@@ -146,10 +156,8 @@ def pack_shard(sizes: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: n
                 ranked = fits[np.argsort(-score[fits], kind="stable")]
                 size = sizes[ranked]
                 while len(ranked):
-                    # the best neighbour, unless the rest of the room is better closed by one that fills it
-                    pick = 0
-                    if room - size[0] < 32 or room < 400:
-                        pick = int(np.argmax(size))
+                    # the best neighbour; the last CLOSE of the capacity is closed by the one that fills most of it
+                    pick = 0 if room > capacity * CLOSE else int(np.argmax(size))
                     window.append(int(ranked[pick]))
                     unused[ranked[pick]] = False
                     left -= 1
@@ -170,7 +178,7 @@ def _pack(capacity: int, idf: np.ndarray, mean_words: float):
         pieces = np.maximum(-(-n // capacity), 1)
         last = n - (pieces - 1) * capacity
         terms = [np.frombuffer(x.as_buffer(), np.int32) for c in t.column("terms").chunks for x in c]
-        tfs = [np.frombuffer(x.as_buffer(), np.uint8) for c in t.column("tfs").chunks for x in c]
+        tfs = [np.frombuffer(x.as_buffer(), np.int32) for c in t.column("tfs").chunks for x in c]
         count = np.fromiter(map(len, terms), np.int64, len(terms))
         owner = np.repeat(np.arange(len(n)), count)
         term, tf = np.concatenate(terms), np.concatenate(tfs).astype(np.float32)
@@ -235,7 +243,7 @@ def pack_documents(df: DataFrame, doc_id: str, text: str, near: list[str], capac
     frequency = np.zeros(BUCKETS)
     frequency[df_rows.bucket.to_numpy(np.int64)] = df_rows.df.to_numpy(float)
     idf = np.log1p((stats["n"] - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    parts = max(1, -(-stats["n"] // (4 * SHARD_DOCS)))
+    parts = max(1, -(-stats["n"] // SHARD_DOCS))  # a shard is a task
     order = [a for a, _ in near_kinds] + ["doc_id"]
     shards = items.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return shards.select("doc_id", "n_tokens", "n_words", "terms", "tfs").mapInArrow(

@@ -61,3 +61,15 @@ def test_look_alikes_and_empty(spark):
     docs = [(1, "Xx " + p.replace("o", "о").replace("-", "‐").replace("fi", "ﬁ") + " yy"), (2, p.replace("quick", "quiсk​"))]
     assert run(spark, docs, [("a", p, "no such question")]) == {(1, "a"), (2, "a")}
     assert find_leaks(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([], ITEMS), "question_id", "passage", "question").count() == 0
+
+
+def test_salted_shingles_lose_nothing(spark, monkeypatch):
+    from memlake.llm import leaks
+
+    text = "how is the old index moved to the new store without a break of the night job"
+    docs = spark.createDataFrame([(i, f"note {i} {text} end {i}") for i in range(40)] + [(99, "nothing of that kind")], "doc_id long, text string")
+    items = spark.createDataFrame([("q1", text, "old index"), ("q2", None, "index"), ("q3", "short", None)], "question_id string, passage string, question string")
+    rows = lambda: sorted((r.doc, r.item, r.n_windows) for r in leaks.find_leaks(docs, "doc_id", "text", items, "question_id", "passage", "question").collect())
+    whole = rows()
+    monkeypatch.setattr(leaks, "MAX_HITS", 7)
+    assert rows() == whole and len(whole) == 80
