@@ -217,6 +217,19 @@ def topic_words(c: Column | str) -> Column:
     return F.transform(kept, lambda w: F.struct(F.lower(w).alias("word"), (F.lit(1) + w.rlike("^[A-Z]").cast("int") * 2 + w.rlike("[_-]|.[A-Z]").cast("int") * 2).alias("weight")))
 
 
+def topics(c: Column | str, n: int = 5) -> Column:
+    """The ``n`` heaviest topic words, ties in order of the words: equal words become neighbours and are summed in one fold."""
+    start = F.struct(F.array().cast("array<struct<weight:int,word:string>>").alias("done"), F.lit("").alias("word"), F.lit(0).alias("weight"))
+    closed = lambda s: F.when(s["weight"] > 0, F.concat(s["done"], F.array(F.struct((-s["weight"]).alias("weight"), s["word"].alias("word"))))).otherwise(s["done"])
+
+    def step(s, x):
+        same = x["word"] == s["word"]
+        return F.struct(F.when(same, s["done"]).otherwise(closed(s)).alias("done"), x["word"].alias("word"), (F.when(same, s["weight"]).otherwise(0) + x["weight"]).alias("weight"))
+
+    sums = F.aggregate(F.array_sort(topic_words(c)), start, step, closed)
+    return F.transform(F.slice(F.array_sort(sums), 1, n), lambda x: x["word"])
+
+
 def capital_codes(c: Column | str) -> Column:
     """Up to three codes of capitalized words after the first, in order: the fallback without known entities."""
     words = F.slice(F.filter(F.split(_c(c), r"(?U)\s+"), lambda w: w != ""), 2, 1 << 30)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlake.runtime import written
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node of each node's component; nodes without links do not appear.
 
     Alternates joining every node to the smallest neighbour of its neighbourhood (large star) and of its
@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v"))
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:  # every round moves some link to a smaller node, so it ends
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -6,7 +6,7 @@ the same score the first declared wins; entity names are replaced longest first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import lexicons as L
@@ -24,23 +24,28 @@ def memories(df: DataFrame, sentence: str) -> DataFrame:
 
 
 def topics(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
-    """(key, topics): the heaviest topic words of every row, ties in order of the words."""
-    words = df.select(key, F.explode(X.topic_words(text)).alias("t")).groupBy(key, F.col("t.word").alias("word")).agg(F.sum("t.weight").alias("weight"))
-    w = Window.partitionBy(key).orderBy(F.desc("weight"), "word")
-    best = words.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
-    lists = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("topics"))
-    return df.select(key).join(lists, key, "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+    """(key, topics): the heaviest topic words of every row, ties in order of the words; nothing leaves the row."""
+    return df.select(key, X.topics(text, n).alias("topics"))
 
 
-def compress(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, topics, emotions, flags, input_len, output_len, ratio) of every text that is not blank."""
+def compress(df: DataFrame, key: str, text: str, known: DataFrame | None = None) -> DataFrame:
+    """(key, text, topics, emotions, flags, input_len, output_len, ratio) of every text that is not blank.
+
+    With ``known(name, code)`` the key sentences are those of the text with names replaced by codes, and the codes
+    found are the entities; where none is found, and without known names, capitalized words are. ``key`` is unique.
+    """
     rows = df.where(X.trim_space(text) != "").select(F.col(key), F.col(text).alias("_t"))
-    rows = rows.join(topics(rows, key, "_t"), key)
-    rows = rows.withColumns({"emotions": X.emotions("_t"), "flags": X.flags("_t"), "codes": X.capital_codes("_t"), "sents": X.key_sentences("_t")})
+    codes, working = X.capital_codes("_t"), F.col("_t")
+    if known is not None:
+        coded = entity_codes(rows, key, "_t", known).select(key, F.col("text").alias("_w"), F.col("codes").alias("_codes"))
+        rows = rows.join(coded, key)
+        codes, working = F.when(F.size("_codes") > 0, F.col("_codes")).otherwise(codes), F.col("_w")
+    rows = rows.withColumns({"topics": X.topics("_t"), "emotions": X.emotions("_t"), "flags": X.flags("_t"), "codes": codes, "sents": X.key_sentences(working)})
     block = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"[{name}: "), F.array_join(c, ", "), F.lit("]")))
     out = F.concat_ws("\n", block("T", "topics"), block("E", "emotions"), block("F", "flags"), block("ENT", "codes"), F.when(F.size("sents") > 0, F.array_join("sents", "\n")))
-    rows = rows.withColumn("text", out).withColumns({"input_len": F.octet_length("_t"), "output_len": F.octet_length("text")})
-    return rows.withColumn("ratio", F.when(F.col("output_len") > 0, F.col("input_len") / F.col("output_len")).otherwise(0.0)).drop("_t", "codes", "sents")
+    rows = rows.withColumn("_out", out).withColumns({"input_len": F.octet_length("_t"), "output_len": F.octet_length("_out")})
+    ratio = F.when(F.col("output_len") > 0, F.col("input_len") / F.col("output_len")).otherwise(0.0)
+    return rows.select(key, F.col("_out").alias("text"), "topics", "emotions", "flags", "input_len", "output_len", ratio.alias("ratio"))
 
 
 def entity_codes(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:

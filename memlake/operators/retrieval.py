@@ -1,7 +1,8 @@
 """Retrieval over many queries at once: BM25, vectors, their fusion and routing.
 
 Every operator takes a table of queries and gives (query_id, id, position, …) of the best ``limit`` hits of
-each. Defined results: null or empty texts match nothing; a query without terms has no hits; limits of 0 or
+each. Texts are analyzed as folded words and their Porter stems, as the full-text index has them; ``X.tokens`` gives
+words without stems. ``where`` filters documents; statistics stay those of all. Defined results: null or empty texts match nothing; a query without terms has no hits; limits of 0 or
 less mean 10; ties go to the smaller id; repeated query terms count twice; vectors of zero length or null
 have cosine 0, another number of dimensions is an error.
 """
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from memlake.functions import lexicons as L
 from memlake.functions import text as X
-from memlake.runtime import BROADCAST_BYTES, table_bytes, written
+from memlake.functions.porter import stemmed_tokens
+from memlake.runtime import is_small, written
 
 
 def top(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -30,39 +32,61 @@ def phrases(queries: DataFrame) -> DataFrame:
     return terms.groupBy("query_id", "phrase").agg(F.count("*").alias("mult"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, analyze=X.tokens) -> DataFrame:
-    """(query_id, id, rank) of all matches of ``docs(id, text)``; lower ranks are better.
+def _if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_small(df) else df
 
-    Statistics are those of all documents. Only tokens that some query asks for leave the scan, and a phrase
-    such as ``foo_bar`` has to stand with its words next to each other.
-    """
-    asked = written(phrases(queries))
+
+def asked_words(queries: DataFrame, analyze, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(query_id, phrase, mult) of the queries, and (phrase, k, off, token): the words of every phrase."""
+    asked = written(phrases(queries) if not keys else phrases(queries).join(queries.select("query_id", *keys), "query_id"))
     words = asked.select("phrase").distinct().select("phrase", analyze(F.translate("phrase", "_", " ")).alias("words"))
-    parts = written(words.select("phrase", F.size("words").alias("k"), F.posexplode("words").alias("off", "token")))
-    wanted = parts.select("token").distinct()
-    if table_bytes(parts) <= BROADCAST_BYTES:
-        parts, wanted = F.broadcast(parts), F.broadcast(wanted)
-    # one pass over the texts: the analyzed corpus is written once and read for statistics and for matches
-    analyzed = written(docs.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", analyze("text").alias("tokens")))
-    stats = analyzed.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    placed = analyzed.select("id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "token")).join(wanted, "token", "left_semi")
-    runs = placed.join(parts, "token").groupBy("id", "phrase", "k", (F.col("pos") - F.col("off")).alias("start")).agg(F.first("dl").alias("dl"), F.count("*").alias("found"))
-    tf = written(runs.where(F.col("found") == F.col("k")).groupBy("id", "phrase").agg(F.first("dl").alias("dl"), F.count("*").alias("tf")))
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
+    return asked, written(words.select("phrase", F.size("words").alias("k"), F.posexplode("words").alias("off", "token")))
+
+
+def match_scores(placed: DataFrame, stats: DataFrame, asked: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, id, rank) of the phrases of ``placed(id, dl, token, pos)``, with statistics per ``keys``.
+
+    The queries are joined last and from every executor's copy while they are small, so a phrase that a third of
+    the documents hold is not brought into one task; larger ones are joined by phrase.
+    """
+    runs = placed.join(_if_small(parts), "token").groupBy(*keys, "id", "phrase", "k", (F.col("pos") - F.col("off")).alias("start")).agg(F.first("dl").alias("dl"), F.count("*").alias("found"))
+    tf = written(runs.where(F.col("found") == F.col("k")).groupBy(*keys, "id", "phrase").agg(F.first("dl").alias("dl"), F.count("*").alias("tf")))
+    df = written(tf.groupBy(*keys, "phrase").agg(F.count("*").alias("df")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = tf.join(df, "phrase").crossJoin(F.broadcast(stats))
+    weighted = tf.join(_if_small(df), [*keys, "phrase"])
+    weighted = weighted.join(stats, keys) if keys else weighted.crossJoin(F.broadcast(stats))  # one row without keys
     score = F.when(idf > 0, idf).otherwise(L.IDF_FLOOR) * F.col("tf") * (L.BM25_K1 + 1) / (F.col("tf") + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * F.col("dl") / F.col("avgdl")))
-    hits = weighted.select("id", "phrase", score.alias("score")).join(asked, "phrase")
+    hits = weighted.select(*keys, "id", "phrase", score.alias("score")).join(_if_small(asked), [*keys, "phrase"])
     return hits.groupBy("query_id", "id").agg((-F.sum(F.col("score") * F.col("mult"))).alias("rank"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None, analyze=X.tokens) -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, analyze=stemmed_tokens, group: str | None = None) -> DataFrame:
+    """(query_id, id, rank) of all matches of ``docs(id, text)``; lower ranks are better.
+
+    Statistics are those of all documents, or of those of the query's ``group``, a column of both tables. Only tokens
+    that some query asks for leave the scan, and a phrase such as ``foo_bar`` has to stand with its words next to each
+    other. ``memlake.operators.index`` keeps the analyzed corpus between searches.
+    """
+    keys = [group] if group else []
+    asked, parts = asked_words(queries, analyze, keys)
+    # one pass over the texts: the analyzed corpus is written once and read for statistics and for matches
+    analyzed = written(docs.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select(*keys, "id", analyze("text").alias("tokens")))
+    stats = analyzed.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    placed = analyzed.select(*keys, "id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "token")).join(_if_small(parts.select("token").distinct()), "token", "left_semi")
+    return match_scores(placed, stats, asked, parts, keys)
+
+
+def best(hits: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` hits of (query_id, id, rank) with their position."""
+    return top(hits.withColumn("rank", F.round("rank", 9)), limit, F.col("rank"), F.col("id"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None, analyze=stemmed_tokens) -> DataFrame:
     """(query_id, id, rank, position); ``where`` filters the documents after scoring, as statistics stay global."""
     hits = bm25_scores(docs, queries, analyze)
     if where is not None:
         hits = hits.join(docs.where(where).select("id"), "id", "left_semi")
-    hits = hits.withColumn("rank", F.round("rank", 9))
-    return top(hits, limit, F.col("rank"), F.col("id"))
+    return best(hits, limit)
 
 
 def _blocks(batches):
@@ -99,16 +123,18 @@ def _best(keep: int):
     return run
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None) -> DataFrame:
     """(query_id, id, similarity, position) by cosine, of ``vectors(id, vector)`` for ``queries(query_id, vector)``.
 
+    ``where`` filters the vectors by their other columns before the search.
+
     Rows and queries are packed into blocks, one matrix per Arrow batch. Every block of queries goes through
     every block of rows as one matrix product, of which only the best ``limit`` rows per query leave the task.
     """
     limit = limit if limit > 0 else 10
     q_kind, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     packed = lambda df, key, k: df.where(F.col("vector").isNotNull() & F.col(key).isNotNull()).select(key, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_blocks, f"ids array<{k}>, unit binary, dims int")
-    rows = packed(vectors, "id", kind)
+    rows = packed(vectors if where is None else vectors.where(where), "id", kind)
     asked = packed(queries, "query_id", q_kind).select(F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"), F.col("dims").alias("q_dims"))
     pairs = rows.crossJoin(asked)  # block by block: one row per pair of matrices
     hits = pairs.mapInArrow(_best(limit), f"query_id {q_kind}, id {kind}, similarity double")
@@ -130,38 +156,69 @@ def pool_size(limit: int, least: int) -> int:
     return max(least, 5 * limit)
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, limit: int = 10, boost: str = "literal") -> DataFrame:
-    """(query_id, id, rank, overlap, boosted, position): BM25 candidates reranked by keyword overlap.
+def rerank(pool: DataFrame, docs: DataFrame, queries: DataFrame, limit: int, boost: str = "literal") -> DataFrame:
+    """(query_id, id, rank, overlap, boosted, position): a pool of hits reordered by keyword overlap.
 
-    ``literal`` multiplies ranks, which are negative, by 1 - 0.3 overlap; ``corrected`` by 1 + 0.3 overlap.
+    Only the texts of the pool are fetched; ``pool`` and ``docs`` are joined on all columns of a document's key.
     """
-    pool = bm25(docs, queries, pool_size(limit, 20)).drop("position")
+    key = [c for c in ("grp", "id") if c in docs.columns and c in pool.columns]
+    texts = docs.select(*key, "text").join(pool.select(*key).distinct(), key, "left_semi")
+    rows = pool.join(texts, key).join(queries.select("query_id", X.keywords("query").alias("kw")), "query_id")
     sign = -1 if boost == "literal" else 1
-    rows = pool.join(docs.select("id", "text"), "id").join(queries.select("query_id", X.keywords("query").alias("kw")), "query_id")
-    overlap = X.keyword_overlap(F.col("kw"), "text")
-    rows = rows.select("query_id", "id", "rank", overlap.alias("overlap")).withColumn("boosted", F.round(F.col("rank") * (1 + sign * L.HYBRID_BOOST * F.col("overlap")), 9))
+    rows = rows.select("query_id", "id", "rank", X.keyword_overlap(F.col("kw"), "text").alias("overlap")).withColumn("boosted", F.round(F.col("rank") * (1 + sign * L.HYBRID_BOOST * F.col("overlap")), 9))
     return top(rows, limit, F.col("boosted"), F.col("id"))
 
 
-def smart(docs: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, id, class, score, position): each query of ``queries(query_id, query, vector)`` by its class.
+def hybrid(docs: DataFrame, queries: DataFrame, limit: int = 10, boost: str = "literal", where: Column | None = None, analyze=stemmed_tokens) -> DataFrame:
+    """(query_id, id, rank, overlap, boosted, position): BM25 candidates reranked by keyword overlap.
 
-    Preferences go to vectors alone, temporal queries and facts to fusion with their own weights; a query
-    without a vector goes to BM25 alone.
+    ``literal`` multiplies ranks, which are negative, by 1 - 0.3 overlap; ``corrected`` by 1 + 0.3 overlap.
+    """
+    pool = written(bm25(docs, queries, pool_size(limit, 20), where, analyze).drop("position"))
+    return rerank(pool, docs, queries, limit, boost)
+
+
+def fused(docs: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None, analyze=stemmed_tokens) -> DataFrame:
+    """(query_id, id, score, position): fusion of both searches for ``queries(query_id, query, vector)``.
+
+    ``where`` filters both legs; it names columns of ``docs``.
     """
-    classed = queries.withColumn("class", F.when(F.col("vector").isNull(), "LEXICAL").otherwise(X.classify_query("query")))
     n = pool_size(limit, 50)
-    lexical = bm25(docs, classed.where("class != 'PREFERENCE'"), n).select("query_id", "id", "position", "rank")
-    semantic = vector_search(vectors, classed.where("class != 'LEXICAL'").select("query_id", "vector"), n)
+    kept = vectors if where is None else vectors.join(docs.where(where).select("id"), "id", "left_semi")
+    return fuse(bm25(docs, queries, n, where, analyze), vector_search(kept, queries.select("query_id", "vector"), n), limit)
+
+
+def classes(queries: DataFrame) -> DataFrame:
+    """``queries(query_id, query, vector)`` with their class; a query without a vector goes to BM25 alone."""
+    return queries.withColumn("class", F.when(F.col("vector").isNull(), "LEXICAL").otherwise(X.classify_query("query")))
+
+
+def route(classed: DataFrame, lexical: DataFrame, semantic: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, class, score, position): every query by its class from the hits of both searches.
+
+    Preferences go to vectors alone, temporal queries and facts to fusion with their own weights.
+    """
     kinds = classed.select("query_id", "class")
     weight = lambda i: F.when(F.col("class") == "TEMPORAL", L.ROUTER_WEIGHTS["TEMPORAL"][i]).otherwise(L.ROUTER_WEIGHTS["FACT"][i])
     lex, sem = lexical.join(kinds, "query_id"), semantic.join(kinds, "query_id")
     mixed = ["TEMPORAL", "FACT"]
-    fused = fuse(lex.where(F.col("class").isin(mixed)), sem.where(F.col("class").isin(mixed)), limit, weight(0), weight(1))
+    both = fuse(lex.where(F.col("class").isin(mixed)), sem.where(F.col("class").isin(mixed)), limit, weight(0), weight(1))
     alone = sem.where("class = 'PREFERENCE'").select("query_id", "id", F.col("similarity").alias("score"), "position")
     plain = lex.where("class = 'LEXICAL'").select("query_id", "id", (-F.col("rank")).alias("score"), "position")
     rest = alone.unionByName(plain).where(F.col("position") <= limit)
-    return fused.unionByName(rest).join(kinds, "query_id").select("query_id", "id", "class", "score", "position")
+    return both.unionByName(rest).join(kinds, "query_id").select("query_id", "id", "class", "score", "position")
+
+
+def smart(docs: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None, analyze=stemmed_tokens) -> DataFrame:
+    """(query_id, id, class, score, position): each query of ``queries(query_id, query, vector)`` by its class.
+
+    ``where`` filters both searches; it names columns of ``docs``.
+    """
+    classed, n = classes(queries), pool_size(limit, 50)
+    kept = vectors if where is None else vectors.join(docs.where(where).select("id"), "id", "left_semi")
+    lexical = bm25(docs, classed.where("class != 'PREFERENCE'"), n, where, analyze).select("query_id", "id", "position", "rank")
+    semantic = vector_search(kept, classed.where("class != 'LEXICAL'").select("query_id", "vector"), n)
+    return route(classed, lexical, semantic, limit)
 
 
 def first_hits(hits: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:

@@ -44,8 +44,14 @@ def drawers(rows: DataFrame) -> DataFrame:
 
 
 def get(store: DataFrame, q: Query) -> DataFrame:
-    """Drawers that match, in order of insertion, with offset and limit."""
-    out = store.where(q.condition()).orderBy("seq")
+    """Drawers that match, with their ``seq``; in order of insertion if an offset or a limit cuts them.
+
+    Without a cut the table is only filtered: a global sort of all rows would serve nobody who goes on with Spark.
+    """
+    out = store.where(q.condition())
+    if not q.offset and not q.limit:
+        return out
+    out = out.orderBy("seq")
     if q.offset:
         out = out.offset(q.offset)
     return out.limit(q.limit) if q.limit else out

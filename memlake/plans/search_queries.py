@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from memlake.functions import lexicons as L
 from memlake.functions import text as X
+from memlake.operators import evaluation as V
+from memlake.operators import index as I
 from memlake.operators import retrieval as R
 from memlake.plans.tables import in_list
 from memlake.runtime import read_table
@@ -52,19 +54,19 @@ def agg_tf(s, d):
 
 
 def flt_match(s, d):
-    return R.bm25_scores(docs(s, d), questions(s, d)).groupBy("query_id").agg(F.count("*").alias("n_matches"))
+    return R.bm25_scores(docs(s, d), questions(s, d), X.tokens).groupBy("query_id").agg(F.count("*").alias("n_matches"))
 
 
 def ret_bm25(s, d):
-    return R.bm25(docs(s, d), questions(s, d), 10).select("query_id", "id", "position", F.round("rank", 6).alias("rank"))
+    return R.bm25(docs(s, d), questions(s, d), 10, analyze=X.tokens).select("query_id", "id", "position", F.round("rank", 6).alias("rank"))
 
 
 def ret_bm25_wing(s, d):
-    return R.bm25(docs(s, d), questions(s, d), 5, F.col("wing") == "wing_core").select("query_id", "id", "position", F.round("rank", 6).alias("rank"))
+    return R.bm25(docs(s, d), questions(s, d), 5, F.col("wing") == "wing_core", X.tokens).select("query_id", "id", "position", F.round("rank", 6).alias("rank"))
 
 
 def ret_hybrid(s, d):
-    h = R.hybrid(docs(s, d), questions(s, d), 10)
+    h = R.hybrid(docs(s, d), questions(s, d), 10, analyze=X.tokens)
     return h.select("query_id", "id", "position", F.round("overlap", 6).alias("overlap"), F.round("boosted", 6).alias("boosted"))
 
 
@@ -83,7 +85,7 @@ def jn_vec(s, d):
 
 def _legs(s, d, n):
     q = questions(s, d)
-    return R.bm25(docs(s, d), q, n), R.vector_search(vectors(s, d), q.select("query_id", "vector"), n)
+    return R.bm25(docs(s, d), q, n, analyze=X.tokens), R.vector_search(vectors(s, d), q.select("query_id", "vector"), n)
 
 
 def ret_rrf(s, d):
@@ -97,22 +99,66 @@ def ret_classify(s, d):
 
 
 def ret_smart(s, d):
-    r = R.smart(docs(s, d), vectors(s, d), questions(s, d), 10)
+    r = R.smart(docs(s, d), vectors(s, d), questions(s, d), 10, analyze=X.tokens)
     return r.select("query_id", "id", "class", "position", F.round("score", 6).alias("score"))
 
 
+def _in_core(c="wing"):
+    return F.col(c) == "wing_core"
+
+
+def ret_vector_wing(s, d):
+    """Vectors of the documents of one wing."""
+    v = vectors(s, d).join(docs(s, d).select("id", "wing"), "id")
+    q = vectors(s, d).where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "vector")
+    return R.vector_search(v, q, 10, _in_core()).select("query_id", "id", "position", F.round("similarity", 6).alias("similarity"))
+
+
+def ret_hybrid_wing(s, d):
+    h = R.hybrid(docs(s, d), questions(s, d), 10, where=_in_core(), analyze=X.tokens)
+    return h.select("query_id", "id", "position", F.round("overlap", 6).alias("overlap"), F.round("boosted", 6).alias("boosted"))
+
+
+def ret_rrf_wing(s, d):
+    r = R.fused(docs(s, d), vectors(s, d), questions(s, d), 10, _in_core(), X.tokens)
+    return r.select("query_id", "id", "position", F.round("score", 9).alias("score"))
+
+
+def ret_smart_wing(s, d):
+    r = R.smart(docs(s, d), vectors(s, d), questions(s, d), 10, _in_core(), X.tokens)
+    return r.select("query_id", "id", "class", "position", F.round("score", 6).alias("score"))
+
+
+def dml_fts_sync(s, d):
+    """Hits of an index that was built of a part, then given the rest and an update, and lost some documents."""
+    t = docs(s, d).select("id", "text")
+    index = I.build(t.where("id % 3 = 0"), X.tokens)
+    index = I.upsert(I.insert(index, t.where("id % 3 <> 0")), t.where("id % 7 = 0").withColumn("text", F.lower("text")))
+    index = I.delete(index, t.where("id % 5 = 0"))
+    return I.search(index, questions(s, d), 10).select("query_id", "id", "position", F.round("rank", 6).alias("rank"))
+
+
+def svc_bench(s, d):
+    """Every question against a haystack of its own: the chats whose digest begins with the question's number in hexadecimal."""
+    part = F.lpad(F.lower(F.hex(F.expr("try_cast(substr(question_id, 2) AS bigint) % 256"))), 2, "0")
+    q = read_table(s, d, "eval_items").select(F.col("question_id").alias("query_id"), F.col("question").alias("query"), "question_type", part.alias("part"))
+    m = read_table(s, d, "messages").where("conv_id IS NOT NULL").select(F.col("conv_id").alias("session"), F.col("msg_id").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), "content", F.left(F.md5("conv_id"), F.lit(2)).alias("part"))
+    found = V.evaluate(q.join(m, "part").withColumn("gold", F.lower("content").contains("decid")).drop("part"), "raw", analyze=X.tokens)
+    return found.select("query_id", "question_type", "rank", "found_at_5", "found_at_10")
+
+
 def agg_recall(s, d):
-    h = R.first_hits(R.bm25(docs(s, d), questions(s, d), 10), gold(s, d), questions(s, d))
+    h = R.first_hits(R.bm25(docs(s, d), questions(s, d), 10, analyze=X.tokens), gold(s, d), questions(s, d))
     types = read_table(s, d, "eval_items").select(F.col("question_id").alias("query_id"), "question_type")
     mean = lambda c: F.round(F.avg(c), 6)
     return h.join(types, "query_id").groupBy("question_type").agg(F.count("*").alias("n"), mean("found_at_5").alias("r_at_5"), mean("found_at_10").alias("r_at_10"))
 
 
 def win_first(s, d):
-    return R.first_hits(R.bm25(docs(s, d), questions(s, d), 10), gold(s, d), questions(s, d))
+    return R.first_hits(R.bm25(docs(s, d), questions(s, d), 10, analyze=X.tokens), gold(s, d), questions(s, d))
 
 
-QUERIES = {f.__name__: f for f in (ret_sanitize, ret_keywords, agg_tf, flt_match, ret_bm25, ret_bm25_wing, ret_hybrid, ret_vector, jn_vec, ret_rrf, ret_classify, ret_smart, agg_recall, win_first)}
+QUERIES = {f.__name__: f for f in (ret_sanitize, ret_keywords, agg_tf, flt_match, ret_bm25, ret_bm25_wing, ret_hybrid, ret_vector, jn_vec, ret_rrf, ret_classify, ret_smart, ret_vector_wing, ret_hybrid_wing, ret_rrf_wing, ret_smart_wing, dml_fts_sync, svc_bench, agg_recall, win_first)}
 
 
 def _like_any(x: str, signals: list[str]) -> str:
@@ -166,3 +212,20 @@ SQL = {
     "agg_recall": f"WITH {_BM25}, top AS ({_TOP(10)}), {_GOLD} SELECT question_type, count(*) AS n, round(avg(found_at_5), 6) AS r_at_5, round(avg(found_at_10), 6) AS r_at_10 FROM fh JOIN eval_items ON question_id = query_id GROUP BY question_type",
     "win_first": f"WITH {_BM25}, top AS ({_TOP(10)}), {_GOLD} SELECT query_id, rank, found_at_5, found_at_10 FROM fh",
 }
+_WING = "cw AS (SELECT hits.* FROM hits JOIN tk USING (id) WHERE wing = 'wing_core'), vw AS (SELECT * FROM v WHERE id IN (SELECT doc_id FROM documents WHERE wing = 'wing_core'))"
+SQL["ret_vector_wing"] = f"WITH {_V}, vd AS (SELECT * FROM v WHERE id IN (SELECT doc_id FROM documents WHERE wing = 'wing_core')) SELECT query_id, id, position, round(similarity, 6) AS similarity FROM {_VEC('vq', 'vd', 10)}"
+SQL["ret_hybrid_wing"] = SQL["ret_hybrid"].replace(f"pool AS ({_TOP(50)})", f"cw AS (SELECT hits.* FROM hits JOIN tk USING (id) WHERE wing = 'wing_core'), pool AS ({_TOP(50, 'cw')})")
+for _name in ("ret_rrf", "ret_smart"):
+    _sql = SQL[_name].replace(f"{_V},", f"{_V}, {_WING},", 1).replace(_TOP(50), _TOP(50, "cw")).replace(_VEC("qv", "v", 50), _VEC("qv", "vw", 50))
+    SQL[f"{_name}_wing"] = _sql
+SQL["dml_fts_sync"] = SQL["ret_bm25"].replace("FROM documents WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0")
+SQL["svc_bench"] = f"""WITH q AS (SELECT question_id AS query_id, question AS query, question_type, printf('%02x', TRY_CAST(substr(question_id, 2) AS BIGINT) % 256) AS part FROM eval_items), {_TERMS},
+ s AS (SELECT substr(md5(conv_id), 1, 2) AS part, conv_id AS id, coalesce(string_agg(coalesce(content, ''), chr(10) ORDER BY msg_id) FILTER (WHERE role = 'user'), '') AS text, coalesce(bool_or(contains(lower(content), 'decid')), false) AS gold FROM messages WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ tk AS (SELECT part, id, gold, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS toks FROM s),
+ qt AS (SELECT query_id, part, term, count(*) AS mult FROM (SELECT query_id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE ws END) AS term FROM w1) JOIN q USING (query_id) GROUP BY ALL),
+ st AS (SELECT part, count(*) AS n, avg(len(toks)) AS avgdl FROM tk GROUP BY part), tf AS (SELECT part, id, dl, term, count(*) AS tf FROM (SELECT part, id, len(toks) AS dl, unnest(toks) AS term FROM tk) GROUP BY ALL),
+ df AS (SELECT part, term, count(*) AS df FROM tf GROUP BY ALL),
+ sc AS (SELECT part, id, term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM tf JOIN df USING (part, term) JOIN st USING (part)),
+ hits AS (SELECT query_id, id, round(-sum(score * mult), 9) AS rank FROM sc JOIN qt USING (part, term) GROUP BY ALL), top AS ({_TOP(10)}),
+ f AS (SELECT query_id, question_type, coalesce(min(position) FILTER (WHERE gold), -1) AS rank FROM q LEFT JOIN top USING (query_id) LEFT JOIN tk USING (id) WHERE q.part IN (SELECT part FROM tk) GROUP BY ALL)
+ SELECT query_id, question_type, rank, CAST(rank BETWEEN 1 AND 5 AS INT) AS found_at_5, CAST(rank BETWEEN 1 AND 10 AS INT) AS found_at_10 FROM f"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from memlake.operators import graph as G
 from memlake.operators import layers
 from memlake.operators import store as S
-from memlake.runtime import written
+from memlake.runtime import checkpointed, written
 
 
 class Service:
@@ -71,12 +71,12 @@ class Service:
             raise ValueError(f"drawer exists: {id_}")
         top = self.drawers.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
         row = (int(top), id_, document, wing, room, args.get("source") or "", self.clock().strftime("%Y-%m-%dT%H:%M:%SZ"), "")
-        self.drawers = S.insert(self.drawers, self.spark.createDataFrame([row], "seq long, id string, document string, wing string, room string, source string, filed_at string, hall string"))
+        self.drawers = checkpointed(S.insert(self.drawers, self.spark.createDataFrame([row], "seq long, id string, document string, wing string, room string, source string, filed_at string, hall string")))  # a change of a long-lived snapshot cuts its lineage
         return self.spark.createDataFrame([("ok", id_)], "status string, id string")
 
     def _delete_drawer(self, args):
         (id_,) = self._need(args, "id")
-        self.drawers = S.delete(self.drawers, self.spark.createDataFrame([(id_,)], "id string"))
+        self.drawers = checkpointed(S.delete(self.drawers, self.spark.createDataFrame([(id_,)], "id string")))
         return self.spark.createDataFrame([("ok", id_)], "status string, id string")
 
     def _kg_query(self, args):
@@ -86,10 +86,10 @@ class Service:
     def _kg_add(self, args):
         subject, predicate, object_ = self._need(args, "subject", "predicate", "object")
         day = self.clock().strftime("%Y-%m-%d")
-        self.entities = S.add_entities(self.entities, self.spark.createDataFrame([(subject,)], "name string"))
+        self.entities = checkpointed(S.add_entities(self.entities, self.spark.createDataFrame([(subject,)], "name string")))
         fact = self.entities.where(F.col("name") == subject).select(F.col("id").alias("subject_id"), F.lit(predicate).alias("predicate"), F.lit(object_).alias("object"), F.lit(day).alias("valid_from"), F.lit("").alias("valid_to"))
         top = self.triples.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
-        self.triples = self.triples.unionByName(fact.withColumn("id", F.lit(int(top))), allowMissingColumns=True)
+        self.triples = checkpointed(self.triples.unionByName(fact.withColumn("id", F.lit(int(top))), allowMissingColumns=True))
         return self.spark.createDataFrame([(subject, predicate, object_, day)], "subject string, predicate string, object string, valid_from string")
 
     def _traverse_graph(self, args):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memlake.functions import lexicons as L
+from memlake.functions import lexicons as L
 from memlake.functions import text as X
 from memlake.functions.embedding import HashingEmbedder, embed_column
 from memlake.functions.porter import stemmed_tokens
@@ -11,7 +13,8 @@ from memlake.operators import layers
 from memlake.operators import retrieval as R
 from memlake.operators.store import first_writer
 from memlake.plans.search_queries import docs, questions
-from memlake.plans.tables import D, sql_trim, stored_drawers
+from memlake.plans.tables import D, in_list, sql_trim, stored_drawers
+from memlake.plans.text_queries import SQL as TEXT_SQL
 from memlake.runtime import read_table
 from memlake.sources.exports import transcripts
 from memlake.sources.files import ProjectConfig, conversation_drawers, project_drawers, project_files
@@ -151,3 +154,18 @@ SQL = {
     "set_union": "SELECT msg_id, coalesce(nullif(content, ''), nullif(text, '')) AS body FROM messages WHERE coalesce(nullif(content, ''), nullif(text, '')) IS NOT NULL",
 }
 SQL["src_json_roles"] = f"WITH {_M}, {_FIRST} SELECT conv_id, CASE WHEN first_role <> '' THEN transcript END AS transcript FROM ({SQL['src_jsonl']}) JOIN f USING (conv_id)"
+
+
+def _project_sql() -> str:
+    """The corpus as project files: paths checked against the deny lists, texts cut as by ``tx_chunk``, rooms by folder."""
+    folders = ", ".join(f"('{w}', '{r}')" for r, ws in L.FOLDER_ROOMS.items() for w in ws.split())
+    cut = TEXT_SQL["tx_chunk"].replace("SELECT doc_id, n, md5(chunk) AS chunk_md5, strlen(chunk) AS bytes FROM u", "")
+    return f"""{cut}, folders(w, r) AS (VALUES {folders}),
+ pth AS (SELECT doc_id, coalesce(nullif(source, ''), 'unknown') || '.' || doc_id || '.md' AS path FROM documents), seg AS (SELECT doc_id, path, string_split(path, '/') AS ps FROM pth),
+ ok AS (SELECT doc_id, path, ps FROM seg WHERE NOT starts_with(ps[-1], '.') AND len(list_filter(ps[:-2], lambda x: x IN {in_list(L.SKIPPED_DIRS)} OR starts_with(x, '.'))) = 0),
+ sg AS (SELECT doc_id, unnest(ps) AS part, unnest(range(len(ps))) AS i FROM ok), rm AS (SELECT doc_id, arg_min(r, i) AS room FROM sg JOIN folders ON w = lower(part) GROUP BY doc_id),
+ ch AS (SELECT md5('wing_files' || coalesce(room, 'general') || chunk) AS id, coalesce(room, 'general') AS room, strlen(chunk) AS bytes FROM u JOIN ok USING (doc_id) LEFT JOIN rm USING (doc_id))
+ SELECT DISTINCT id, room, bytes FROM ch"""
+
+
+SQL["src_project"] = _project_sql()

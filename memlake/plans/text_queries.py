@@ -74,13 +74,21 @@ def tx_entdet(s, d):
     return stored_drawers(s, d).select("id", F.array_join(X.capital_codes("document"), ",").alias("codes"))
 
 
+def _known(s, d):
+    return read_table(s, d, "registry").where("code IS NOT NULL AND code <> '' AND name IS NOT NULL")
+
+
 def tx_comp(s, d):
     return C.compress(stored_drawers(s, d), "id", "document").select("id", "text", "input_len", "output_len", F.round("ratio", 6).alias("ratio"))
 
 
+def tx_comp_known(s, d):
+    """Compression with the codes of the registry."""
+    return C.compress(stored_drawers(s, d), "id", "document", _known(s, d)).select("id", "text", "input_len", "output_len", F.round("ratio", 6).alias("ratio"))
+
+
 def tx_entrep(s, d):
-    codes = read_table(s, d, "registry").where("code IS NOT NULL AND code <> '' AND name IS NOT NULL")
-    return C.entity_codes(stored_drawers(s, d), "id", "document", codes).select("id", F.array_join("codes", ",").alias("codes"), F.md5("text").alias("text_md5"))
+    return C.entity_codes(stored_drawers(s, d), "id", "document", _known(s, d)).select("id", F.array_join("codes", ",").alias("codes"), F.md5("text").alias("text_md5"))
 
 
 def tx_nonascii(s, d):
@@ -96,7 +104,7 @@ def win_ctx(s, d):
     return near.where("near").groupBy("id").agg(F.count("*").alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (tx_chunk, tx_exch, win_group, tx_convroom, tx_pathroom, tx_id, tx_sent, tx_memory, tx_ents, tx_topics, tx_keysent, tx_emo, tx_flag, tx_entdet, tx_comp, tx_entrep, tx_nonascii, win_ctx)}
+QUERIES = {f.__name__: f for f in (tx_chunk, tx_exch, win_group, tx_convroom, tx_pathroom, tx_id, tx_sent, tx_memory, tx_ents, tx_topics, tx_keysent, tx_emo, tx_flag, tx_entdet, tx_comp, tx_comp_known, tx_entrep, tx_nonascii, win_ctx)}
 
 _EX = f"""ex AS (SELECT id, list_transform(list_filter(list_transform(string_split(document, '> user:'), lambda p, i: {{'i': i, 'p': {sql_trim('p')}}}), lambda x: x.p <> ''), lambda x: CASE WHEN x.i > 1 THEN '> user:' || x.p ELSE x.p END) AS xs FROM d)"""
 _SENT = f"""st AS (SELECT id, list_filter(list_transform(regexp_extract_all(document, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: {sql_trim('x')}), lambda x: x <> '') AS ss FROM d),
@@ -207,3 +215,9 @@ SQL["tx_comp"] = f"""WITH {D}, {_TOPIC.replace('{sep}', _SEP)}, {_KEY}, {_CAP.re
  o AS (SELECT d.id, strlen(document) AS input_len, concat_ws(chr(10), CASE WHEN coalesce(topics, '') <> '' THEN '[T: ' || topics || ']' END, '[E: ' || emo || ']', '[F: ' || flg || ']', CASE WHEN codes <> '' THEN '[ENT: ' || codes || ']' END, sents) AS text
   FROM d LEFT JOIN topics USING (id) LEFT JOIN em USING (id) LEFT JOIN fm USING (id) LEFT JOIN ce USING (id) LEFT JOIN ks USING (id) WHERE {sql_trim('document')} <> '')
  SELECT id, text, input_len, strlen(text) AS output_len, round(CASE WHEN strlen(text) > 0 THEN input_len / strlen(text) ELSE 0 END, 6) AS ratio FROM o"""
+_KNOWN = """kn AS (SELECT name, min(code) AS code FROM registry WHERE code IS NOT NULL AND code <> '' AND name <> lower(name) GROUP BY name),
+ kf AS (SELECT d.id, list({'n': name, 'c': code} ORDER BY length(name) DESC, name, code) AS ns, list_sort(list_distinct(list(code))) AS cs FROM d, kn WHERE contains(lower(document), lower(name)) GROUP BY d.id),
+ kr AS (SELECT d.*, coalesce(cs, []) AS cs, CASE WHEN ns IS NULL THEN document ELSE list_reduce(list_transform(ns, lambda x: {'t': document, 'n': x.n, 'c': x.c}), lambda a, b: {'t': replace(a.t, b.n, b.c), 'n': b.n, 'c': b.c}, {'t': document, 'n': '', 'c': ''}).t END AS working FROM d LEFT JOIN kf ON kf.id = d.id)"""
+SQL["tx_entrep"] = f"WITH {D}, {_KNOWN} SELECT id, array_to_string(cs, ',') AS codes, md5(working) AS text_md5 FROM kr"
+_COMP = SQL["tx_comp"].replace(f"WITH {D},", f"WITH {D}, {_KNOWN},", 1).replace("string_split_regex(document, '[.!?\\n]+')", "string_split_regex(working, '[.!?\\n]+')").replace("AS ps FROM d)", "AS ps FROM kr)")
+SQL["tx_comp_known"] = _COMP.replace("ce AS (SELECT id, array_to_string(", "ce AS (SELECT cc.id, CASE WHEN len(kr.cs) > 0 THEN array_to_string(kr.cs, ', ') ELSE array_to_string(", 1).replace("[1:3], ', ') AS codes FROM cc)", "[1:3], ', ') END AS codes FROM cc JOIN kr ON kr.id = cc.id)", 1).replace("list_filter(cs, lambda x, i: list_position(cs, x) = i)", "list_filter(cc.cs, lambda x, i: list_position(cc.cs, x) = i)", 1)

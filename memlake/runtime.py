@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         known = known.get() if known.isDefined() else None
     if not known:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         known = "file://" + tempfile.mkdtemp(prefix="memlake-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(known)
@@ -54,6 +56,11 @@ def drop_tables(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` may go to every executor; compressed files are taken as an eighth of the rows in memory."""
+    return table_bytes(df) * 8 <= BROADCAST_BYTES
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are too few for that; larger inputs stay as they are scanned."""
     cores = df.sparkSession.sparkContext.defaultParallelism

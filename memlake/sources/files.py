@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from memlake.functions import lexicons as L
 from memlake.functions import text as X
-from memlake.operators.store import DRAWER
+from memlake.operators.store import DRAWER, first_writer
+from memlake.runtime import written
 from memlake.sources.exports import transcripts
 
 
@@ -118,31 +121,107 @@ def conversation_drawers(files: DataFrame, wing: str, day: str, per_chunk: int =
     return _drawers(rows)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+_STORE = "seq long, " + ", ".join(f"{c} string" for c in DRAWER)
+_VECTORS = "id string, vector array<float>"
+
+
 def write_store(drawers: DataFrame, path: str) -> None:
     """Appends a batch to the drawer table, partitioned by wing."""
     drawers.write.mode("append").partitionBy("wing").parquet(path)
 
 
-def write_results(hits: DataFrame, path: str) -> None:
-    """Per-question results of an evaluation as CSV."""
-    hits.write.mode("overwrite").option("header", True).csv(path)
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored drawers as a snapshot; a store that is not there yet is empty. Of repeated ids the first stays."""
+    return first_writer(spark.read.schema(_STORE).parquet(path)) if _exists(spark, path) else spark.createDataFrame([], _STORE)
+
+
+def add_with_vectors(drawers: DataFrame, vectors: DataFrame, store: str, path: str) -> None:
+    """Appends the drawers that the store lacks, and the vectors (id, vector) of just those, to their tables."""
+    spark = drawers.sparkSession
+    fresh = written(first_writer(drawers).join(open_store(spark, store).select("id"), "id", "left_anti"))
+    write_store(fresh, store)
+    vectors.join(fresh.select("id"), "id", "left_semi").select("id", F.col("vector").cast("array<float>").alias("vector")).write.mode("append").parquet(path)
+
+
+def mine_with_vectors(drawers: DataFrame, embed, store: str, path: str) -> None:
+    """From mined drawers (without ``seq``) to stored drawers and vectors; ``embed`` maps a text column to vectors."""
+    top = open_store(drawers.sparkSession, store).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    rows = written(drawers.withColumn("seq", F.monotonically_increasing_id() + F.lit(top + 1)))
+    add_with_vectors(rows, rows.select("id", embed(F.col("document")).alias("vector")), store, path)
+
+
+def open_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(id, vector) of a vector table; empty if it is not there."""
+    return spark.read.schema(_VECTORS).parquet(path) if _exists(spark, path) else spark.createDataFrame([], _VECTORS)
+
+
+_ENTITIES = "id long, name string"
+_TRIPLES = "id long, subject_id long, predicate string, object string, valid_from string, valid_to string"
+
+
+def save_facts(entities: DataFrame, triples: DataFrame, path: str) -> None:
+    """Writes a snapshot of the fact store below ``path`` and then points to it, so readers see one state or the other."""
+    spark = entities.sparkSession
+    name = f"snapshot-{uuid.uuid4().hex}"
+    entities.select("id", "name").write.parquet(f"{path}/{name}/entities")
+    triples.write.parquet(f"{path}/{name}/triples")
+    spark.createDataFrame([(name, int(time.time() * 1e6))], "name string, at long").coalesce(1).write.mode("append").json(f"{path}/current")
+
+
+def open_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, triples) of the latest snapshot; both empty if there is none."""
+    if not _exists(spark, f"{path}/current"):
+        return spark.createDataFrame([], _ENTITIES), spark.createDataFrame([], _TRIPLES)
+    name = spark.read.schema("name string, at long").json(f"{path}/current").orderBy(F.desc("at")).first().name
+    return spark.read.parquet(f"{path}/{name}/entities"), spark.read.parquet(f"{path}/{name}/triples")
+
+
+def write_results(results: DataFrame, path: str, latency_ms: float = 0.0) -> None:
+    """Per-question results of an evaluation as CSV; the latency is that of the batch divided by its questions."""
+    rows = results if "latency_ms" in results.columns else results.withColumn("latency_ms", F.lit(round(latency_ms)))
+    kind = F.col("question_type") if "question_type" in results.columns else F.lit("")
+    rows = rows.select(F.col("query_id").alias("question_id"), kind.alias("question_type"), F.col("found_at_5").cast("boolean").alias("found_at_5"), F.col("found_at_10").cast("boolean").alias("found_at_10"), "rank", "latency_ms")
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+_ENTRY = ["name", "type", "aliases", "source", "code"]
+_REGISTRY = "ord long, name string, type string, aliases array<string>, source string, code string"
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The entity registry from JSON; a missing file is an empty registry."""
-    schema = "ord long, name string, type string, aliases array<string>, source string, code string"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    """The entity registry from its JSON file, one object with the list ``entities``; ``ord`` is the place in the list.
+
+    A missing file is an empty registry.
+    """
+    if not _exists(spark, path):
+        return spark.createDataFrame([], _REGISTRY)
+    entry = "struct<name:string, type:string, aliases:array<string>, source:string, code:string>"
+    rows = spark.read.schema(f"entities array<{entry}>").option("multiLine", True).json(path)
+    return rows.select(F.posexplode("entities").alias("ord", "e")).select(F.col("ord").cast("long"), *[F.col(f"e.{c}").alias(c) for c in _ENTRY])
+
+
+def write_registry(registry: DataFrame, path: str) -> None:
+    """Writes the registry as one indented JSON object with the list ``entities`` in order of ``ord``, in a folder of one file.
+
+    The file is one object by its format, so it is made in one task; a registry lists the entities that people keep.
+    """
+    entry = F.struct("ord", *[F.coalesce(c, F.array().cast("array<string>") if c == "aliases" else F.lit("")).alias(c) for c in _ENTRY])
+    rows = registry.agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    items = F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in _ENTRY]))
+    rows.select(F.to_json(F.struct(items.alias("entities")), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, query, session, turn, role, content, gold) of a retrieval benchmark file, one row per message."""
+    """(query_id, query, question_type, answer, session, date, gold, turn, role, content) of a retrieval benchmark file, one row per message."""
     message = "struct<role:string, content:string>"
     schema = f"question_id string, question_type string, question string, answer string, answer_session_ids array<string>, haystack_session_ids array<string>, haystack_sessions array<array<{message}>>, haystack_dates array<string>"
     q = spark.read.schema(schema).option("multiLine", True).json(path)
-    s = q.select(F.col("question_id").alias("query_id"), F.col("question").alias("query"), "answer_session_ids", "haystack_session_ids", F.posexplode("haystack_sessions").alias("s", "messages"))
-    s = s.withColumn("session", F.get("haystack_session_ids", F.col("s")))
-    m = s.select("query_id", "query", "session", F.array_contains("answer_session_ids", F.col("session")).alias("gold"), F.posexplode("messages").alias("turn", "m"))
-    return m.select("query_id", "query", "session", "gold", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    s = q.select(F.col("question_id").alias("query_id"), F.col("question").alias("query"), "question_type", "answer", "answer_session_ids", "haystack_session_ids", "haystack_dates", F.posexplode("haystack_sessions").alias("s", "messages"))
+    s = s.withColumns({"session": F.coalesce(F.get("haystack_session_ids", F.col("s")), F.concat(F.lit("sess_"), F.col("s").cast("string"))), "date": F.get("haystack_dates", F.col("s"))})
+    m = s.select("query_id", "query", "question_type", "answer", "session", "date", F.array_contains("answer_session_ids", F.col("session")).alias("gold"), F.posexplode("messages").alias("turn", "m"))
+    return m.select("query_id", "query", "question_type", "answer", "session", "date", "gold", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))

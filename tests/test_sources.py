@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions.embedding import HashingEmbedder, WordPiece, choose_embedder, embed_column, mean_pool
+from memlake.operators import evaluation as V
+from memlake.operators import index as I
 from memlake.operators import layers
 from memlake.operators import retrieval as R
 from memlake.operators import store as S
@@ -88,19 +90,86 @@ def test_config(tmp_path, monkeypatch):
     assert S2.AppConfig.load(str(tmp_path)).store_path == "/env"
 
 
-def test_registry_and_benchmark_files(spark, tmp_path):
+def test_registry_file(spark, tmp_path):
     assert S2.read_registry(spark, str(tmp_path / "none.json")).count() == 0
-    (tmp_path / "r.json").write_text('{"ord":1,"name":"A","aliases":["b"]}\n')
-    assert S2.read_registry(spark, str(tmp_path / "r.json")).first().aliases == ["b"]
-    q = [{"question_id": "q1", "question": "api design", "answer_session_ids": ["s2"], "haystack_session_ids": ["s1", "s2"], "haystack_sessions": [[{"role": "user", "content": "cats"}], [{"role": "user", "content": "api design talk"}, {"role": "assistant", "content": "x"}]]}]
-    (tmp_path / "q.json").write_text(json.dumps(q))
-    m = S2.read_questions(spark, str(tmp_path / "q.json")).where("role = 'user'")
-    docs = m.groupBy(F.col("session").alias("id")).agg(F.max("gold").alias("gold"), F.array_join(F.collect_list("content"), "\n").alias("text"))
-    asked = m.select("query_id", "query").distinct()
-    hits = R.first_hits(R.bm25(docs, asked), docs.where("gold").crossJoin(asked).select("query_id", "id"), asked)
-    assert tuple(hits.first()) == ("q1", 1, 1, 1)
-    S2.write_results(hits, str(tmp_path / "out"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 1
+    entries = [{"name": "Kai", "type": "person", "aliases": ["K", "Kaito"], "source": "onboarding", "code": "KAI"}, {"name": "Depot", "type": "project", "aliases": None, "source": "learned", "code": ""}]
+    (tmp_path / "r.json").write_text(json.dumps({"entities": entries}, indent=2))
+    r = S2.read_registry(spark, str(tmp_path / "r.json"))
+    assert [(x.ord, x.name, x.aliases) for x in r.orderBy("ord").collect()] == [(0, "Kai", ["K", "Kaito"]), (1, "Depot", None)]
+    S2.write_registry(r, str(tmp_path / "out.json"))
+    text = "".join(f.read_text() for f in (tmp_path / "out.json").glob("part-*"))
+    assert json.loads(text) == {"entities": [entries[0], {**entries[1], "aliases": []}]} and text.startswith("{\n")
+    assert S2.read_registry(spark, str(tmp_path / "out.json")).count() == 2
+    S2.write_registry(r.limit(0), str(tmp_path / "empty.json"))
+    assert S2.read_registry(spark, str(tmp_path / "empty.json")).count() == 0
+
+
+QUESTIONS = [
+    {"question_id": "q1", "question_type": "single", "question": "running api designs", "answer": "x", "answer_session_ids": ["s2"], "haystack_session_ids": ["s1", "s2"], "haystack_dates": ["d1", "d2"], "haystack_sessions": [[{"role": "user", "content": "cats"}], [{"role": "user", "content": "the api design"}, {"role": "user", "content": "runs"}, {"role": "assistant", "content": "cats"}]]},
+    {"question_id": "q2", "question_type": "multi", "question": "cats", "answer_session_ids": ["none"], "haystack_session_ids": ["s1", "s3"], "haystack_sessions": [[{"role": "user", "content": "cats"}], [{"role": "assistant", "content": "cats"}]]},
+]
+
+
+def test_evaluation_per_haystack(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps(QUESTIONS))
+    m = S2.read_questions(spark, str(tmp_path / "q.json"))
+    assert {(r.question_type, r.answer, r.date) for r in m.where("query_id = 'q1' AND session = 's2'").collect()} == {("single", "x", "d2")}
+    embed = lambda c: embed_column(HashingEmbedder(256), c)
+    for mode in V.MODES:
+        got = {r.query_id: (r.question_type, r.rank, r.found_at_5) for r in V.evaluate(m, mode, embed).collect()}
+        assert got["q1"][0] == "single" and got["q1"][1] >= 1 and got["q1"][2] == 1 and got["q2"] == ("multi", -1, 0), mode
+    assert V.evaluate(m, "smart").count() == 2 and V.evaluate(m.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        V.evaluate(m, "other")
+    S2.write_results(V.evaluate(m), str(tmp_path / "out"), 1.4)
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert rows.columns == ["question_id", "question_type", "found_at_5", "found_at_10", "rank", "latency_ms"]
+    assert sorted(tuple(r) for r in rows.collect()) == [("q1", "single", "true", "true", "1", "1"), ("q2", "multi", "false", "false", "-1", "1")]
+
+
+def test_statistics_of_a_haystack_are_its_own(spark):
+    docs = spark.createDataFrame([("g", 1, "alpha beta"), ("g", 2, "gamma"), ("h", 1, "alpha alpha"), ("h", 3, "delta words here")], "grp string, id long, text string")
+    asked = spark.createDataFrame([("q", "alpha", "g"), ("p", "alpha", "h")], "query_id string, query string, grp string")
+    got = {(r.query_id, r.id): round(r.rank, 9) for r in R.bm25_scores(docs, asked, group="grp").collect()}
+    for q, g in (("q", "g"), ("p", "h")):
+        one = {(r.query_id, r.id): round(r.rank, 9) for r in R.bm25_scores(docs.where(F.col("grp") == g), asked.where(F.col("query_id") == q)).collect()}
+        assert {k: v for k, v in got.items() if k[0] == q} == one and len(one) == 1
+
+
+def test_store_with_vectors_and_facts(spark, tmp_path):
+    store, vec = str(tmp_path / "d"), str(tmp_path / "v")
+    assert S2.open_store(spark, store).count() == 0 and S2.open_vectors(spark, vec).count() == 0
+    files = spark.createDataFrame([("a.md", "alpha"), ("b.md", "beta"), ("c.md", None)], "path string, content string")
+    mined = lambda f: S2.project_drawers(f, S2.ProjectConfig("w"), "2026-01-01")
+    embed = lambda c: embed_column(HashingEmbedder(8), c)
+    S2.mine_with_vectors(mined(files), embed, store, vec)
+    S2.mine_with_vectors(mined(files.union(spark.createDataFrame([("d.md", "delta")], files.schema))), embed, store, vec)
+    drawers, vectors = S2.open_store(spark, store), S2.open_vectors(spark, vec)
+    assert sorted(r.document for r in drawers.collect()) == ["alpha", "beta", "delta"] and drawers.select("seq").distinct().count() == 3
+    assert sorted(r.id for r in vectors.collect()) == sorted(r.id for r in drawers.collect())
+    facts = str(tmp_path / "kg")
+    assert [x.count() for x in S2.open_facts(spark, facts)] == [0, 0]
+    e = spark.createDataFrame([(1, "Alice")], "id long, name string")
+    t = spark.createDataFrame([(1, 1, "knows", "Bob", "2026-01-01", "")], "id long, subject_id long, predicate string, object string, valid_from string, valid_to string")
+    S2.save_facts(e, t.limit(0), facts)
+    S2.save_facts(e, t, facts)
+    e2, t2 = S2.open_facts(spark, facts)
+    assert e2.collect() == e.collect() and t2.collect() == t.collect()
+
+
+def test_index_follows_changes(spark, tmp_path):
+    texts = [(i, f"the running dog number{i % 5} foo bar" if i % 2 else f"dogs ran foo_bar number{i % 7}") for i in range(30)] + [(99, ""), (100, None)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    asked = spark.createDataFrame([("a", "run dogs"), ("b", "foo_bar number3"), ("c", "nothing")], "query_id string, query string")
+    rows = lambda df: {(r.query_id, r.id): round(r.rank, 9) for r in df.collect()}
+    index = I.upsert(I.insert(I.build(docs.where("id < 10")), docs), docs.where("id % 4 = 0"))
+    assert rows(I.scores(index, asked)) == rows(R.bm25_scores(docs, asked)) and len(rows(I.scores(index, asked))) > 30
+    index = I.delete(index, docs.where("id < 20").select("id"))
+    I.save(index, str(tmp_path / "ix"))
+    kept = I.open_index(spark, str(tmp_path / "ix"))
+    assert rows(I.scores(kept, asked)) == rows(R.bm25_scores(docs.where("id >= 20"), asked))
+    got = I.search(kept, asked, 2, F.col("id") % 2 == 0, docs).collect()
+    assert all(r.id % 2 == 0 and r.position <= 2 for r in got)
 
 
 def test_layers(spark, tmp_path):

@@ -158,3 +158,32 @@ def test_hybrid_signs(spark):
     assert literal[0].id == corrected[0].id == 1
     assert corrected[0].boosted < corrected[0].rank < literal[0].boosted
     assert re.match("^-", str(literal[0].rank))
+
+
+def test_filters_hold_for_every_search(spark):
+    docs = spark.createDataFrame([(i, f"running api designs {i}", "a" if i % 2 else "b") for i in range(8)], "id long, text string, wing string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)], "a" if i % 2 else "b") for i in range(8)], "id long, vector array<double>, wing string")
+    asked = spark.createDataFrame([("q", "run api design", [1.0, 7.0]), ("p", "what do I prefer", [1.0, 2.0])], "query_id string, query string, vector array<double>")
+    odd = F.col("wing") == "a"
+    plain = vectors.select("id", "vector")
+    for hits in (R.vector_search(vectors, asked, 9, odd), R.hybrid(docs, asked, 9, where=odd), R.fused(docs, plain, asked, 9, odd), R.smart(docs, plain, asked, 9, odd)):
+        got = [r.id for r in hits.where("query_id = 'q'").collect()]
+        assert sorted(got) == [1, 3, 5, 7]
+
+
+def test_search_stems_by_default(spark):
+    docs = spark.createDataFrame([(1, "she was running"), (2, "no match")], "id long, text string")
+    asked = spark.createDataFrame([("q", "runs")], "query_id string, query string")
+    assert [r.id for r in R.bm25(docs, asked).collect()] == [1] and R.bm25(docs, asked, analyze=X.tokens).count() == 0
+
+
+def test_topics_and_codes_with_repeated_and_clashing_rows(spark):
+    from memlake.operators import dialect as C
+
+    df = spark.createDataFrame([(1, "Alice Zed likes Graphql graphql. We decided because Alice Zed said so."), (2, ""), (3, None)], "id long, text string")
+    twice = df.union(df)
+    assert [tuple(r.topics[:1]) for r in C.topics(twice, "id", "text").where("id = 1").collect()] == [("alice",)] * 2
+    known = spark.createDataFrame([("Alice Zed", "ALZ"), ("alice", "X")], "name string, code string")
+    got = C.compress(df, "id", "text", known).collect()
+    assert len(got) == 1 and "[ENT: ALZ]" in got[0].text and "We decided because ALZ said so" in got[0].text
+    assert "[ENT: ZED" in C.compress(df, "id", "text").first().text
