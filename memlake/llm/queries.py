@@ -105,4 +105,9 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_packing": p6_packing, "p6_containers": p6_containers, "p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_canonical": p8_canonical, "p8_classes": p8_classes}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": """WITH t AS (SELECT DISTINCT id, list_filter(string_split_regex(lower(document), '\\s+'), lambda x: x <> '') AS w FROM drawers WHERE id IS NOT NULL AND document IS NOT NULL),
+ s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])) AS g FROM t WHERE len(w) >= 3), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+ p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+ SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+}
