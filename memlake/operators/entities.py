@@ -54,6 +54,46 @@ def candidates(text: Column) -> Column:
     return F.concat(F.filter(words, lambda w: ~F.lower(w).isin(*L.ENTITY_STOP_WORDS)), camel)
 
 
+_PERSON, _PROJECT = ("action", "addressed", "dialogue"), ("code_ref", "project verb", "versioned")
+_SUM = "struct<person:int,project:int,kinds:int>"
+
+
+def _no_sums() -> Column:
+    zero = [F.lit(0).alias(k) for k in ("person", "project", "kinds")]
+    return F.struct(F.array().cast(f"array<struct<key:string,value:{_SUM}>>").alias("done"), F.lit("").alias("name"), F.lit("").alias("signal"), *zero)
+
+
+def _closed(s: Column) -> Column:
+    entry = F.struct(s["name"].alias("key"), F.struct(*[s[k].alias(k) for k in ("person", "project", "kinds")]).alias("value"))
+    return F.when(s["name"] != "", F.concat(s["done"], F.array(entry))).otherwise(s["done"])
+
+
+def _add_signal(s: Column, x: Column) -> Column:
+    """One step of a fold over sorted signals: equal names are neighbours, and so are equal signals of a name."""
+    same = x["name"] == s["name"]
+    person = x["signal"].isin(*_PERSON)
+    new = person & ~(same & (x["signal"] == s["signal"]))
+    had = lambda k: F.when(same, s[k]).otherwise(0)
+    return F.struct(
+        F.when(same, s["done"]).otherwise(_closed(s)).alias("done"), x["name"].alias("name"), x["signal"].alias("signal"),
+        (had("person") + F.when(person, x["weight"]).otherwise(0)).alias("person"),
+        (had("project") + F.when(x["signal"].isin(*_PROJECT), x["weight"]).otherwise(0)).alias("project"),
+        (had("kinds") + new.cast("int")).alias("kinds"),
+    )
+
+
+def _counts(words: Column) -> Column:
+    """(name, n) of the words of an array, in one fold over the sorted words."""
+    start = F.struct(F.array().cast("array<struct<name:string,n:int>>").alias("done"), F.lit("").alias("name"), F.lit(0).alias("n"))
+    closed = lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(F.struct(s["name"].alias("name"), s["n"].alias("n"))))).otherwise(s["done"])
+
+    def step(s, w):
+        same = w == s["name"]
+        return F.struct(F.when(same, s["done"]).otherwise(closed(s)).alias("done"), w.alias("name"), (F.when(same, s["n"]).otherwise(0) + 1).alias("n"))
+
+    return F.aggregate(F.array_sort(words), start, step, closed)
+
+
 def detect_entities(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, name, freq, person, project, type, confidence) of every candidate of every row."""
     t = F.col(text)
@@ -61,16 +101,13 @@ def detect_entities(df: DataFrame, key: str, text: str) -> DataFrame:
     pronoun = rf"(?<![0-9a-z_])(?:{'|'.join(L.PRONOUNS)})(?![0-9a-z_])"
     near = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.exists(F.slice(lines, F.greatest(i - 1, F.lit(1)), F.least(i + 3, F.lit(5))), lambda y: y.rlike(pronoun)).alias("pronoun")))
     rows = df.where(t.isNotNull()).select(F.col(key).alias("key"), candidates(t).alias("c"), _signals(t).alias("signals"), F.filter(near, lambda x: x["pronoun"])["line"].alias("near"))
-    names = rows.select("key", "signals", "near", F.explode(F.array_distinct("c")).alias("name"), "c")
-    own = F.filter("signals", lambda s: s["name"] == F.lower("name"))
-    total = lambda kinds: F.aggregate(F.filter(own, lambda s: s["signal"].isin(*kinds)), F.lit(0), lambda a, s: a + s["weight"])
-    has = lambda kind: F.exists(own, lambda s: s["signal"] == kind).cast("int")
-    hits = F.size(F.filter("near", lambda x: F.contains(x, F.lower("name"))))
-    scored = names.select(
-        "key", "name", F.size(F.filter("c", lambda x: x == F.col("name"))).alias("freq"),
-        (total(["dialogue", "action", "addressed"]) + 2 * hits).alias("person"), total(["project verb", "versioned", "code_ref"]).alias("project"),
-        (has("dialogue") + has("action") + has("addressed") + (hits > 0).cast("int")).alias("kinds"),
-    )
+    # everything is counted in the row, and only one small struct per name leaves it
+    sums = F.aggregate(F.array_sort("signals"), _no_sums(), _add_signal, lambda s: F.map_from_entries(_closed(s)))
+    rows = rows.withColumns({"sums": sums, "freqs": _counts(F.col("c"))})
+    hits = lambda n: F.size(F.filter("near", lambda x: F.contains(x, F.lower(n))))
+    each = F.transform("freqs", lambda f: F.struct(f["name"].alias("name"), f["n"].alias("freq"), hits(f["name"]).alias("hits"), F.element_at("sums", F.lower(f["name"])).alias("s")))
+    got = rows.select("key", F.explode(each).alias("e")).select("key", "e.name", "e.freq", "e.hits", *[F.coalesce(F.col(f"e.s.{k}"), F.lit(0)).alias(k) for k in ("person", "project", "kinds")])
+    scored = got.select("key", "name", "freq", (F.col("person") + 2 * F.col("hits")).alias("person"), "project", (F.col("kinds") + (F.col("hits") > 0).cast("int")).alias("kinds"))
     return classify_entities(scored).drop("kinds")
 
 
