@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Largest table, in bytes of its files, that an operator may send to every executor.
 BROADCAST_BYTES = 8 << 20
-_TABLES: list[str] = []
+#: Paths of written tables, one list for each open ``scratch`` block around the outermost.
+_TABLES: list[list[str]] = [[]]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,17 +47,31 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
+    _TABLES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` made so far; call it when no result that reads them is needed any more."""
-    while _TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables written within the block at its end, and no others: the results of the block must be used up by then."""
+    _TABLES.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _TABLES.pop())
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables written outside of every ``scratch`` block; call it when no result that reads them is needed any more."""
+    _delete(spark, _TABLES[0])
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether ``df`` may go to every executor; compressed files are taken as an eighth of the rows in memory."""
     return table_bytes(df) * 8 <= BROADCAST_BYTES

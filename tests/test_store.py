@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from memlake.operators import entities as E
@@ -93,3 +95,16 @@ def test_detect_entities(spark):
 def test_drawers_ignore_extra_columns(spark):
     raw = rows(spark, ("a", "x", "w", "r")).withColumns({"first": F.lit(1), "n": F.lit(2), "rank": F.lit(3)})
     assert S.drawers(raw).columns == ["seq", *S.DRAWER]
+
+
+def test_scratch_deletes_its_own_tables_only(spark):
+    from memlake.runtime import scratch, written
+
+    outer = written(spark.range(3))
+    with scratch(spark):
+        inner = written(spark.range(4))
+        with scratch(spark):
+            written(spark.range(5))
+        assert inner.count() == 4
+        path = inner.inputFiles()[0].removeprefix("file://")
+    assert outer.count() == 3 and not os.path.exists(path)
