@@ -51,6 +51,25 @@ def test_all_cosine_pairs_are_found(spark, monkeypatch):
         assert set(got) == want and all(abs(got[p] - cos[p]) < 1e-4 for p in want)
 
 
+def shuffled(plan):
+    """Rows that the shuffles of a plan that ran have written."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.metrics().contains("shuffleRecordsWritten") else 0
+    return own + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_join_shuffles_rows_not_pairs(spark):
+    """300 vectors share a feature that they look for partners by: 45,000 pairs to sum up, 150 to find."""
+    rows = [(i, f, f, 1.0) for i in range(300) for f in (7, 1000 + i // 2)]
+    pairs = cosine_pairs(spark.createDataFrame(rows, "node long, feature long, gram long, weight float"), 0.25)
+    assert {(r.x, r.y) for r in pairs.collect()} == {(i, i + 1) for i in range(0, 300, 2)}
+    assert shuffled(pairs._jdf.queryExecution().executedPlan()) < 3000
+
+
 def test_vector_marks_grams_with_initials():
     v, w, x = (name_vector(n.split(), [[t] for t in n.split()], [1.0] * 2) for n in ("michael brown", "m brown", "stephen brown"))
     assert {"m|brow", "b|mich", "|brow"} <= set(v) and "m|brow" in w and "m|brow" not in x and "|brow" in x
