@@ -51,6 +51,13 @@ def test_all_cosine_pairs_are_found(spark, monkeypatch):
         assert set(got) == want and all(abs(got[p] - cos[p]) < 1e-4 for p in want)
 
 
+def test_contexts_of_many_words_count(spark):
+    """Every family has 20 given names, more than CONTEXT; most of them stand beside that family only."""
+    rows = [(f"{g} {f}",) for f in FAMILIES for g in ("robert", "bob", *(f"given{f}{chr(97 + i)}" for i in range(18)))]
+    got = word_forms(spark.createDataFrame(rows, "norm string").selectExpr("split(norm, ' ') AS parts")).collect()
+    assert [tuple(sorted(r)) for r in got] == [("bob", "robert")]
+
+
 def shuffled(plan):
     """Rows that the shuffles of a plan that ran have written."""
     name = plan.getClass().getSimpleName()
